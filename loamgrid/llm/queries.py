@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, sharding
+from . import media, mixing, packing, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
+        "op2_toxicity": toxicity.query,
+        "op3_media": media.query,
+        "op5_quality": quality.query,
         "op6_sharding": sharding.query,
         "op7_packing": packing.query,
     }
