@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality, sharding, toxicity
+from . import media, mixing, packing, quality, scoring, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,11 +10,13 @@ def queries() -> dict:
         "op1_mixing": mixing.query,
         "op2_toxicity": toxicity.query,
         "op3_media": media.query,
+        "op4_topk": topk.query,
         "op5_quality": quality.query,
         "op6_sharding": sharding.query,
         "op7_packing": packing.query,
+        "op9_scoring": scoring.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL}
+    return {"op1_mixing": mixing.SQL, "op4_topk": topk.SQL}
