@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality, scoring, sharding, topk, toxicity
+from . import media, mixing, neardup, packing, quality, scoring, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_sharding": sharding.query,
         "op7_packing": packing.query,
         "op9_scoring": scoring.query,
+        "op10_neardup": neardup.query,
     }
 
 
