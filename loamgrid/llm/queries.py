@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, neardup, packing, quality, scoring, sharding, topk, toxicity
+from . import media, mixing, neardup, packing, quality, repeats, scoring, sharding, topk, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_quality": quality.query,
         "op6_sharding": sharding.query,
         "op7_packing": packing.query,
+        "op8_repeats": repeats.query,
         "op9_scoring": scoring.query,
         "op10_neardup": neardup.query,
     }
