@@ -6,7 +6,8 @@ Suffixes whose first KEY words occur in one text only are dropped. The others ar
 sorted by their words (range partitions, so that a passage in very many documents
 is split) and compared with their neighbours from other texts, before and after,
 also over the partitions' boundaries, and with the earliest document of their
-first words. Matches are extended left and right; those of LEAST words or more are
+first words. Suffixes with the same first words are sorted a second time by the
+words to their left, nearest first, and compared likewise. Matches are extended left and right; those of LEAST words or more are
 reported, and matches of one text that meet are one passage.
 
 A suffix carries the words around it that lie nearer than the next kept ones, so
@@ -213,10 +214,11 @@ COLUMNS = ["t", "start", "stop", "other", "cut", "part", "place", "edge", "s_key
 SORTED = f"{MATCH}, {EDGE}, s_key long, s_right binary, s_left binary, s_id long, s_t long, s_pos long, s_n long"
 
 
-def matches(suffixes: DataFrame) -> DataFrame:
-    """Sorts the suffixes and returns MATCH rows."""
+def matches(suffixes: DataFrame, *sides: str) -> DataFrame:
+    """Sorts the suffixes, by their keys and then by the words of the first side,
+    then of the other, and returns MATCH rows."""
     spark = suffixes.sparkSession
-    order = ["key", "right", "left", "t", "pos"]
+    order = ["key", *sides, "t", "pos"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = suffixes.select("key", "right", "left", "id", "t", "pos", "n").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     told = stored(rows.mapInArrow(_neighbours, SORTED), "matches")
@@ -264,7 +266,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     some = docs.withColumn("flag", flag(F.col("id"))).join(F.broadcast(flags), "flag", "left_semi").select("id", "text")
     some = some.join(wanted, "id").select("id", "text", "wanted", "t")
     suffixes = stored(some.mapInArrow(_suffixes, SUFFIX).dropDuplicates(["t", "pos"]), "suffixes")
-    near = matches(suffixes).groupBy("t").agg(F.collect_list(F.struct("start", "stop", "other", "cut")).alias("found"))
+    # the neighbour in one order shares most to the right, in the other most to the left
+    near = matches(suffixes, "right", "left").unionByName(matches(suffixes, "left", "right")).groupBy("t").agg(F.collect_list(F.struct("start", "stop", "other", "cut")).alias("found"))
     near = near.mapInArrow(_joined, "t long, start long, stop long, other long, cut boolean").checkpoint()
     discard(suffixes)
     single = rows.filter("t IS NOT NULL AND id IS NOT NULL").select("id", "t").distinct()
