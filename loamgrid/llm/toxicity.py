@@ -327,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, keep_id, label_col: str = "toxic",
 
 
 def scored(docs: DataFrame, grammar: Grammar, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Kept columns, score and clauses (how many matched, by kind)."""
+    """Kept columns and score, one row per row of docs."""
     rows = docs.select(*keep, F.col(f"`{text_col}`").alias("scored_text"))
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # LEXICON units at most
 
@@ -344,8 +344,23 @@ def scored(docs: DataFrame, grammar: Grammar, keep: list[str], text_col: str = "
     return rows.mapInArrow(run, f"{kept}, score double")
 
 
+def held_in(id_col):
+    """Whether labels of an id may be learned from."""
+    return crc_rest(id_col, 4) != 2
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs less those that the grammar rejects; same columns."""
+    columns = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
+    id_, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
+    grammar = train(docs.select("doc_id", "text"), labels, held_in)
+    out = scored(plain, grammar, plain.columns, text).filter(F.col("score") < THRESHOLD)
+    return out.select(*plain.columns).toDF(*columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    grammar = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), lambda c: crc_rest(c, 4) != 2)
+    grammar = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_in)
     out = scored(docs, grammar, ["doc_id"])
-    return out.select("doc_id", (crc_rest(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", (~held_in(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
