@@ -43,6 +43,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), in the shared folder also where the session names none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table of stored() that nothing reads any more."""
     spark = df.sparkSession

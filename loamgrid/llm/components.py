@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: (a long, b long). Rows (node, label) for every node of an edge; label
@@ -13,13 +15,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the least label among the neighbours, then the label's own
     label, so that a path halves per round. Minima are combined before the shuffle,
     so a node of many edges costs one row per task."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")).checkpoint()
+    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         of_label = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = lower.join(of_label, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")).checkpoint()
+        new = checkpointed(lower.join(of_label, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not changed:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import checkpointed, words_of
 
 SALTS_HEX = 2  # hex digits of md5: 256 salts
 
@@ -83,7 +83,7 @@ def mix(
     base = base.withColumn("mix_class", _size_class(F.col("size"))).withColumn("mix_salt", F.substring(F.md5(F.col("mix_id")), 1, SALTS_HEX))
 
     block = ["mix_key", "mix_class", "mix_salt"]
-    blocks = base.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).checkpoint()
+    blocks = checkpointed(base.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     classes = blocks.groupBy("mix_key", "mix_class").agg(F.sum("n").alias("class_n"), F.sum("words").alias("class_words"))
     per_source = targets(classes.groupBy("mix_key").agg(F.sum("class_words").alias("source_size")), weights, cap)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, spans, stored, utf8, word_hashes, words
+from .common import checkpointed, discard, mix64, spans, stored, utf8, word_hashes, words
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -212,7 +212,7 @@ def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float
     """The pairs (a, b) of texts that are as similar as threshold or more."""
     spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))).distinct()
-    owners = texts.join(wanted, "t", "left_semi").select("t", "id").checkpoint()
+    owners = checkpointed(texts.join(wanted, "t", "left_semi").select("t", "id"))
     flag = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS))
     flags = owners.select(flag(F.col("id")).alias("flag")).distinct().collect()  # FLAGS at most
     flags = spark.createDataFrame([(r.flag,) for r in flags], "flag long")
@@ -222,7 +222,7 @@ def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float
     known = stored(known, "shingles")
     side = lambda c: known.select(F.col("t").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("counts").alias(f"counts_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b")
-    out = both.mapInArrow(_verified(threshold), "a long, b long").checkpoint()
+    out = checkpointed(both.mapInArrow(_verified(threshold), "a long, b long"))
     discard(known)
     return out
 
@@ -279,10 +279,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     pairs = banded.join(led, "key").filter("t <> leader").select(F.col("t").alias("a"), F.col("leader").alias("b")).distinct()
     side = lambda c: signed.select(F.col("t").alias(c), F.col("sig").alias(f"sig_{c}"))
     looks = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_looks, "a long, b long, look double")
-    best = looks.groupBy("a").agg(F.max(F.struct("look", "b"))["b"].alias("b")).checkpoint()
+    best = checkpointed(looks.groupBy("a").agg(F.max(F.struct("look", "b"))["b"].alias("b")))
     edges = verify(best, docs, texts, threshold)
     labels = components(edges)
-    more = across(signed, labels).checkpoint()
+    more = checkpointed(across(signed, labels))
     edges = edges.union(verify(more, docs, texts, threshold))
     labels = components(edges)
     named = labels.join(texts.select(F.col("t").alias("node"), "id"), "node")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, spans, stored, utf8, word_hashes, words
+from .common import checkpointed, discard, mix64, spans, stored, utf8, word_hashes, words
 from .neardup import FLAGS, text_key
 
 LEAST, KEY = 50, 20
@@ -256,10 +256,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = stored(docs.mapInArrow(_kept, "id long, t long, n long, keys array<long>"), "kept")
-    texts = rows.filter("t IS NOT NULL AND id IS NOT NULL").groupBy("t").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("keys").alias("keys")).checkpoint()
+    texts = checkpointed(rows.filter("t IS NOT NULL AND id IS NOT NULL").groupBy("t").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     keyed = texts.select("t", "id", F.explode("keys").alias("key"))
     common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("key")
-    wanted = keyed.join(common, "key").groupBy("t", "id").agg(F.collect_list("key").alias("wanted")).checkpoint()
+    wanted = checkpointed(keyed.join(common, "key").groupBy("t", "id").agg(F.collect_list("key").alias("wanted")))
     flag = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS))
     flags = wanted.select(flag(F.col("id")).alias("flag")).distinct().collect()  # FLAGS at most
     flags = spark.createDataFrame([(r.flag,) for r in flags], "flag long")
@@ -268,7 +268,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     suffixes = stored(some.mapInArrow(_suffixes, SUFFIX).dropDuplicates(["t", "pos"]), "suffixes")
     # the neighbour in one order shares most to the right, in the other most to the left
     near = matches(suffixes, "right", "left").unionByName(matches(suffixes, "left", "right")).groupBy("t").agg(F.collect_list(F.struct("start", "stop", "other", "cut")).alias("found"))
-    near = near.mapInArrow(_joined, "t long, start long, stop long, other long, cut boolean").checkpoint()
+    near = checkpointed(near.mapInArrow(_joined, "t long, start long, stop long, other long, cut boolean"))
     discard(suffixes)
     single = rows.filter("t IS NOT NULL AND id IS NOT NULL").select("id", "t").distinct()
     out = single.join(near, "t").select("id", "start", (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"), "cut")

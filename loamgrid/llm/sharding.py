@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import checkpointed, words_of
 
 SHARDS = 40
 #: Buckets per shard: the packer gets SHARDS * PER_SHARD pooled items at most,
@@ -63,13 +63,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, per_shard: int = PER_SHARD, id_
     """Rows (id, size, text_crc32, law, shard, slot, grown_shard)."""
     spark = docs.sparkSession
     text = F.col(f"`{text_col}`")
-    base = docs.select(
+    base = checkpointed(docs.select(
         F.col(f"`{id_col}`").alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         words_of(text).alias("tokens"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("crc"),
         F.xxhash64(text, F.octet_length(text)).alias("h"),
-    ).checkpoint()  # narrow rows; the texts are read once
+    ))  # narrow rows; the texts are read once
     buckets = shards * per_shard
     total = base.agg(F.sum("size"), F.sum("tokens"), F.count(F.lit(1))).first()
     bytes_all, tokens_all, rows_all = (int(x or 0) for x in total)
