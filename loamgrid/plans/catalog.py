@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+
+PARTS = ("relational", "grids")
+
+
+def _all(what: str) -> dict:
+    out: dict = {}
+    for part in PARTS:
+        out |= getattr(importlib.import_module(f"loamgrid.plans.{part}"), what)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("Q")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _all("SQL")
