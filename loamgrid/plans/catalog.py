@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("relational", "grids")
+PARTS = ("relational", "grids", "spatial")
 
 
 def _all(what: str) -> dict:
