@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("relational", "grids", "spatial")
+PARTS = ("relational", "grids", "spatial", "texts", "composites")
 
 
 def _all(what: str) -> dict:
