@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-PARTS = ("relational", "grids", "spatial", "texts", "composites")
+PARTS = ("relational", "grids", "spatial", "texts", "composites", "statistics", "published")
 
 
 def _all(what: str) -> dict:
