@@ -61,4 +61,4 @@ def write_features(df: DataFrame, column: str, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.write.mode("overwrite").option("header", True).option("nullValue", "\\N").csv(path)
