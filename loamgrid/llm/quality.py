@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of byte n-grams (n = 1, 2, 3; trigrams hashed), over the
-whole text. Each is scaled by the log-count ratio of the two classes, rows are
+Features are indicators of byte n-grams (n = 1, 2, 3; trigrams hashed) and of
+n-grams of repetition from word to word, over the whole text. Each is scaled by the log-count ratio of the two classes, rows are
 brought to unit length, and a linear model with hinge loss is fitted by dual
 coordinate descent, then drawn towards its mean weight. Margins become
 probabilities through a logistic curve fitted on rows kept back from the fit.
@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, spans, utf8
+from .common import crc_rest, spans, utf8, word_hashes, words
 from .labelled import sample
 
 TRI_BITS = 17
-DIM = 256 + 65536 + (1 << TRI_BITS)
+#: First of 16 features of repetition: 8 patterns of three steps from word to word,
+#: each the same word again or not; and 8 classes of the share of such steps.
+AGAIN = 256 + 65536 + (1 << TRI_BITS)
+DIM = AGAIN + 16
 #: Most labelled documents that the fit uses.
 SAMPLE = 6000
 THRESHOLD = 0.3
@@ -44,6 +47,13 @@ def features(data: np.ndarray, seen: np.ndarray) -> np.ndarray:
             if len(piece) > 2:
                 three = ((two[:-1] << 8) | piece[2:]) * np.int32(-1640531527)
                 seen[((three >> (31 - TRI_BITS)) & ((1 << TRI_BITS) - 1)) + (256 + 65536)] = True
+    begin, end, _ = words(data, np.array([0, len(data)]))
+    if len(begin) > 1:
+        h = word_hashes(data, begin, end)
+        same = (h[1:] == h[:-1]).astype(np.int64)
+        seen[AGAIN + 4 * same[:-2] + 2 * same[1:-1] + same[2:]] = True
+        share = float(same.mean())
+        seen[AGAIN + 8 + (1 + min(6, int(8 * share)) if share else 0)] = True
     found = np.flatnonzero(seen)
     seen[found] = False
     return found
