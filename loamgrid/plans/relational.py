@@ -208,7 +208,7 @@ def complete_cases(spark, d):
 
 @register(
     "unless_empty",
-    """SELECT p_name, p_partkey FROM (SELECT p_name, p_partkey, p_type = 'PROMO' AS ok, max(CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END) OVER (PARTITION BY p_name) AS some FROM part) WHERE ok OR some = 0""",
+    """SELECT p_name, p_partkey FROM (SELECT p_name, p_partkey, p_type = 'PROMO' AS ok, max(CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END) OVER (PARTITION BY p_name) AS has FROM part) WHERE ok OR has = 0""",
 )
 def unless_empty(spark, d):
     return R.unless_empty(table(spark, d, "part", ["p_name", "p_partkey", "p_type"]), ["p_name"], F.col("p_type") == "PROMO").select("p_name", "p_partkey")
