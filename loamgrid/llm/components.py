@@ -17,14 +17,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     so a node of many edges costs one row per task."""
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    for _ in range(rounds):
+    for step in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         of_label = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = checkpointed(lower.join(of_label, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
-        changed = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
-        if not changed:
+        if step > 1 and not new.filter("label <> old").limit(1).count():  # the first rounds hardly ever settle it
             break
     else:
         raise RuntimeError("components didn't settle")

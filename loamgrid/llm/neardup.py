@@ -13,9 +13,10 @@ more, and classes are connected documents.
 
 Equal texts are one text. A band's texts are never paired with each other at once:
 first each text is compared with the leader of a band (the best-looking of its
-bands); texts in one band that these links leave in different components are then
-compared in blocks of BLOCK. So no link between different texts is lost, and a
-group of many near copies costs one comparison per text.
+bands). Texts in one band that this leaves in different components are compared in
+blocks of BLOCK, without those of the band's largest component among themselves;
+pairs are not written, only links. So no link between different texts is lost, and a
+pair whose components are joined by then is not compared.
 
 Defined results: texts of one to four words have one shingle of all words; texts
 without words are linked with equal texts only; a null text is in a class of its
@@ -208,10 +209,10 @@ def _verified(threshold: float):
     return run
 
 
-def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of texts that are as similar as threshold or more."""
+def shingle_table(wanted: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """All shingles (t, keys, counts) of the texts wanted (t), written. Only their
+    documents are shuffled: a table of flags holds most others back."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("t")).union(pairs.select(F.col("b").alias("t"))).distinct()
     owners = checkpointed(texts.join(wanted, "t", "left_semi").select("t", "id"))
     flag = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS))
     flags = owners.select(flag(F.col("id")).alias("flag")).distinct().collect()  # FLAGS at most
@@ -219,51 +220,109 @@ def verify(pairs: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float
     some = docs.withColumn("flag", flag(F.col("id"))).join(F.broadcast(flags), "flag", "left_semi").select("id", "text")
     some = some.join(owners.select("id").distinct(), "id", "left_semi").select("text")
     known = some.mapInArrow(_shingled, "t long, keys binary, counts binary").join(owners.select("t"), "t", "left_semi").dropDuplicates(["t"])
-    known = stored(known, "shingles")
+    return stored(known, "shingles")
+
+
+def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of texts that are as similar as threshold or more."""
     side = lambda c: known.select(F.col("t").alias(c), F.col("keys").alias(f"keys_{c}"), F.col("counts").alias(f"counts_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "keys_a", "counts_a", "keys_b", "counts_b")
-    out = checkpointed(both.mapInArrow(_verified(threshold), "a long, b long"))
-    discard(known)
-    return out
+    return checkpointed(both.mapInArrow(_verified(threshold), "a long, b long"))
 
 
-def _crossing(table: pa.Table) -> pa.Table:
-    """Pairs of a block that lie in different components, look alike, and share no
-    earlier band than this one."""
+def _block(table: pa.Table):
+    """Columns of a block, and its pairs to look at: a text on the left with those on
+    the right that have another label, look alike, and share no earlier band; with
+    the agreement of their registers."""
     sig = _matrix(table["sig"])
     keys = np.frombuffer(b"".join(np.asarray(x, np.int64).tobytes() for x in table["bands"].to_pylist()), np.int64).reshape(-1, BANDS)
-    t, label, left = (table[c].to_numpy() for c in ("t", "label", "left"))
+    t, label = table["t"].to_numpy(), table["label"].to_numpy()
+    left, minor = (np.array(table[c].to_pylist(), bool) for c in ("left", "minor"))
     key = int(table["key"][0].as_py())
-    same = table["i"][0].as_py() == table["j"][0].as_py()
-    rows, columns = np.flatnonzero(left == 1), np.flatnonzero(left == 0)
-    if same:
-        columns = rows
-    out_a, out_b = [], []
+    rows, columns = np.flatnonzero(left), np.flatnonzero(~left)
+    a, b, looks = [], [], []
     for i in rows.tolist():
-        others = columns[(label[columns] != label[i]) & ((t[columns] > t[i]) if same else True)]
+        # a pair of two minor texts stands on both sides; once is enough
+        others = columns[(label[columns] != label[i]) & (~minor[columns] | (t[columns] > t[i]))]
         if not len(others):
             continue
-        others = others[_agreement(sig[others], sig[i]) >= LOOKS]
-        for j in others.tolist():
-            if int(keys[i][np.flatnonzero(keys[i] == keys[j])[0]]) == key:
-                out_a.append(min(int(t[i]), int(t[j])))
-                out_b.append(max(int(t[i]), int(t[j])))
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-
-def across(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts that share a band, look alike and lie in different
-    components. Bands are split into blocks; each pair of blocks is a group."""
-    named = texts.join(labels.select(F.col("node").alias("t"), "label"), "t", "left").withColumn("label", F.coalesce("label", "t"))
+        look = _agreement(sig[others], sig[i])
+        others, look = others[look >= LOOKS], look[look >= LOOKS]
+        first = keys[i][(keys[others] == keys[i]).argmax(axis=1)] == key
+        a += [i] * int(first.sum())
+        b += others[first].tolist()
+        looks += look[first].tolist()
+    return t, label, np.array(a, np.int64), np.array(b, np.int64), np.array(looks)
+
+
+def _participants(table: pa.Table) -> pa.Table:
+    """Texts of a block that have a pair to look at."""
+    t, _, a, b, _ = _block(table)
+    who = np.unique(np.concatenate([t[a], t[b]])) if len(a) else np.zeros(0, np.int64)
+    return pa.table({"key": pa.array(np.full(len(who), table["key"][0].as_py(), np.int64)), "t": pa.array(who)})
+
+
+def _crossing(threshold: float):
+    """Links of a block that join components, the pairs that look most alike first;
+    a pair whose components are joined by then needs no comparison."""
+
+    def run(table: pa.Table) -> pa.Table:
+        t, label, a, b, looks = _block(table)
+        keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
+        counts = [np.frombuffer(x, np.uint32) if x else np.ones(len(k), np.uint32) for x, k in zip(table["counts"].to_pylist(), keys)]
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        out = []
+        for k in np.argsort(-looks, kind="stable").tolist():
+            i, j = int(a[k]), int(b[k])
+            x, y = top(int(label[i])), top(int(label[j]))
+            if x != y and similarity(keys[i], counts[i], keys[j], counts[j]) >= threshold - 1e-12:
+                up[max(x, y)] = min(x, y)
+                out.append((int(t[i]), int(t[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """members (key, t, label) of bands; rows (key, i, j, left, minor, t, label) so that
+    in each block (key, i, j) texts on the left meet those on the right. Texts of a
+    band's most frequent label needn't meet each other: only the others, the minor
+    ones, stand on the left."""
+    by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    of_key = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
+    of_key = of_key.filter("labels > 1").select("key", F.col("m.label").alias("major"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"))
+    rows = members.join(of_key, "key").withColumn("minor", F.col("label") != F.col("major"))
+    i, j = F.pmod(F.xxhash64("t"), F.col("ni")).cast("int"), F.pmod(F.xxhash64("t", F.lit(1)), F.col("nj")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = F.when(F.col("minor"), F.transform(every("nj"), lambda x: F.struct(i.alias("i"), x.alias("j"), F.lit(True).alias("left"))))
+    right = F.transform(every("ni"), lambda x: F.struct(x.alias("i"), j.alias("j"), F.lit(False).alias("left")))
+    placed = rows.withColumn("spot", F.explode(F.concat(right, F.coalesce(left, F.array().cast("array<struct<i:int,j:int,left:boolean>>")))))
+    return placed.select("key", "spot.i", "spot.j", "spot.left", "minor", "t", "label")
+
+
+def across(signed: DataFrame, labels: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between texts that share a band and lie in different components,
+    as many as it takes to join the components that have one."""
+    named = signed.join(labels.select(F.col("node").alias("t"), "label"), "t", "left").withColumn("label", F.coalesce("label", "t")).select("t", "id", "label", "sig", "bands")
     slim = named.select("t", "label", F.explode("bands").alias("key"))
-    open_ = slim.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    open_ = open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = slim.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
-    # a member of block o meets the blocks above on the left side, those below on the right
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("key", "t", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 1).otherwise(0).alias("left"))
-    full = members.join(named.select("t", "sig", "bands"), "t").select("key", "i", "j", "left", "t", "label", "sig", "bands")
-    return full.groupBy("key", "i", "j").applyInArrow(_crossing, "a long, b long").distinct()
+    open_ = slim.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    members = checkpointed(slim.join(open_, "key").select("key", "t", "label"))
+    full = _blocks(members).join(named.select("t", "sig", "bands"), "t").select("key", "i", "j", "left", "minor", "t", "label", "sig", "bands")
+    who = checkpointed(full.groupBy("key", "i", "j").applyInArrow(_participants, "key long, t long").distinct())
+    known = shingle_table(who.select("t").distinct(), docs, signed.select("t", "id"))
+    some = members.join(who, ["key", "t"], "left_semi")
+    rest = named.select("t", "sig", "bands").join(known, "t")
+    full = _blocks(some).join(rest, "t").select("key", "i", "j", "left", "minor", "t", "label", "sig", "bands", "keys", "counts")
+    out = checkpointed(full.groupBy("key", "i", "j").applyInArrow(_crossing(threshold), "a long, b long"))
+    discard(known)
+    return out
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -279,12 +338,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     pairs = banded.join(led, "key").filter("t <> leader").select(F.col("t").alias("a"), F.col("leader").alias("b")).distinct()
     side = lambda c: signed.select(F.col("t").alias(c), F.col("sig").alias(f"sig_{c}"))
     looks = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_looks, "a long, b long, look double")
+    # the best-looking leader of each text first
     best = checkpointed(looks.groupBy("a").agg(F.max(F.struct("look", "b"))["b"].alias("b")))
-    edges = verify(best, docs, texts, threshold)
-    labels = components(edges)
-    more = checkpointed(across(signed, labels))
-    edges = edges.union(verify(more, docs, texts, threshold))
-    labels = components(edges)
+    known = shingle_table(best.select(F.col("a").alias("t")).union(best.select(F.col("b").alias("t"))).distinct(), docs, texts)
+    edges = verify(best, known, threshold)
+    discard(known)
+    labels = components(edges.union(across(signed, components(edges), docs, threshold)))
     named = labels.join(texts.select(F.col("t").alias("node"), "id"), "node")
     of_label = named.groupBy("label").agg(F.min("id").alias("class_id"))
     of_text = named.select("node", "label").join(of_label, "label").select(F.col("node").alias("t"), "class_id")
