@@ -41,7 +41,7 @@ BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 #: Pairs whose registers agree less are not compared exactly: five standard errors below THRESHOLD.
 LOOKS = 0.6
-BLOCK = 256
+BLOCK = 1024
 #: Texts to compare are told from others by a table of so many flags at most.
 FLAGS = 1 << 20
 
