@@ -5,11 +5,16 @@ row: any LEAST words that two texts share hold such a place, the same in both.
 Suffixes whose first KEY words occur in one text only are dropped. The others are
 sorted by their words (range partitions, so that a passage in very many documents
 is split) and compared with their neighbours from other texts, before and after,
-also over the partitions' boundaries, and with the earliest document of their
-first words. Suffixes with the same first words are sorted a second time by the
-words to their left, nearest first, and compared likewise. Matches are extended left and right; those of LEAST words or more are
+also over the partitions' boundaries. Suffixes with the same first words are
+sorted a second time by the words to their left, nearest first, and compared
+likewise. Matches are extended left and right; those of LEAST words or more are
 reported, and matches of one text that meet are one passage.
 
+Neighbours may all have larger ids. So each LEAST words around a kept place are
+also looked up by their hash, with the least and the largest id of the texts that
+hold them: every one held by an earlier document is cut, whatever stands beside it
+in either order.
+
 A suffix carries the words around it that lie nearer than the next kept ones, so
 longer passages are joined from several suffixes. Equal texts are one text, and
 the whole of it is a passage. Words are compared by hash, case and all.
@@ -50,11 +55,12 @@ def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
     return least(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places kept in a text of word hashes, and hashes of the KEY words there."""
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places kept in a text of word hashes, and hashes of the KEY words there; for
+    each LEAST words in a row their hash, and the key kept among them."""
     n = len(h) - KEY + 1
     if len(h) < LEAST:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 3
     # runs of 4, 16 and 20 words: each hash is of two shorter runs'
     two = mix64(h[:-1] + mix64(h[1:]))
     four = mix64(two[:-2] + mix64(two[2:]))
@@ -62,12 +68,15 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sixteen = mix64(eight[:-8] + mix64(eight[8:]))
     key = mix64(sixteen[:n] + mix64(four[16 : 16 + n]))
     lowest = _sliding(key, WINDOW, np.minimum)
+    # LEAST words are 16 and 16 and 16 and 2
+    m = len(lowest)
+    whole = mix64(sixteen[:m] + mix64(sixteen[16 : 16 + m] + mix64(sixteen[32 : 32 + m] + mix64(two[48 : 48 + m]))))
     # a place is kept if it is the lowest of one of the windows that it lies in
     wide = np.concatenate([np.zeros(WINDOW - 1, np.uint64), lowest, np.zeros(WINDOW - 1, np.uint64)])
     keep = _sliding(wide, WINDOW, np.maximum) == key
     keep[1:] &= key[1:] != key[:-1]
     at = np.flatnonzero(keep)
-    return at, key[at]
+    return at, key[at], whole, lowest
 
 
 def _kept(batches):
@@ -89,11 +98,12 @@ def _kept(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(t, pa.int64()), pa.array(np.diff(limit)), listed], names=["id", "t", "n", "keys"])
 
 
-SUFFIX = "key long, `right` binary, `left` binary, id long, t long, pos long, n long"
+SUFFIX = "key long, `right` binary, `left` binary, id long, t long, pos long, n long, runs array<struct<start: long, run: long>>"
 
 
 def _suffixes(batches):
-    """The suffixes of a text whose keys are wanted, with the words around."""
+    """The suffixes of a text whose keys are wanted, with the words around; each LEAST
+    words whose key is wanted stand with the suffix before them."""
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         wanted, ids, ts = batch.column(2).to_pylist(), batch.column(0), batch.column(3)
@@ -103,17 +113,21 @@ def _suffixes(batches):
                 continue  # another text under the same id
             begin, end, _ = words(raw, np.array([0, len(raw)]))
             h = word_hashes(raw, begin, end)
-            at, key = anchors(h)
-            ok = np.isin(key, np.array(wanted[i], np.int64).view(np.uint64))
+            at, key, whole, lowest = anchors(h)
+            of = np.array(wanted[i], np.int64).view(np.uint64)
+            ok = np.isin(key, of)
             at, key = at[ok], key[ok]
+            start = np.flatnonzero(np.isin(lowest, of))
+            limit = np.concatenate([[0], np.searchsorted(start, at[1:]), [len(start)]]).astype(np.int32)
+            runs = pa.ListArray.from_arrays(pa.array(limit[: len(at) + 1]), pa.StructArray.from_arrays([pa.array(start), pa.array(whole[start].view(np.int64))], names=["start", "run"]))
             short = np.concatenate([np.zeros(LEFT, np.uint32), (h >> np.uint64(32)).astype(np.uint32), np.zeros(RIGHT, np.uint32)]).astype(">u4")
             right = short[(at + LEFT + KEY)[:, None] + np.arange(RIGHT)]
             left = short[(at + LEFT - 1)[:, None] - np.arange(LEFT)]
             n = len(at)
             pack = lambda m: pa.array([x.tobytes() for x in m], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pack(right), pack(left), pa.array(np.full(n, ids[i].as_py())), pa.array(np.full(n, ts[i].as_py())), pa.array(at), pa.array(np.full(n, len(h)))],
-                names=["key", "right", "left", "id", "t", "pos", "n"],
+                [pa.array(key.view(np.int64)), pack(right), pack(left), pa.array(np.full(n, ids[i].as_py())), pa.array(np.full(n, ts[i].as_py())), pa.array(at), pa.array(np.full(n, len(h))), runs],
+                names=["key", "right", "left", "id", "t", "pos", "n", "runs"],
             )
 
 
@@ -139,7 +153,7 @@ class Suffixes:
 
 def partners(s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (suffix, partner) to compare: the nearest of another text before and
-    after in order, and the one of the least id, all of the same key."""
+    after in order, of the same key."""
     n = len(s.key)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -147,13 +161,9 @@ def partners(s: Suffixes) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.flatnonzero(step) + 1])
     run = np.cumsum(np.concatenate([[0], step]))
     before, after = first[run] - 1, np.append(first[1:], n)[run]
-    new_key = np.concatenate([[True], s.key[1:] != s.key[:-1]])
-    group = np.cumsum(new_key) - 1
-    order = np.lexsort((s.id, group))
-    least = order[np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))][group]
     here = np.arange(n)
-    a = np.concatenate([here, here, here])
-    b = np.concatenate([before, after, least])
+    a = np.concatenate([here, here])
+    b = np.concatenate([before, after])
     ok = (b >= 0) & (b < n)
     a, b = a[ok], b[ok]
     ok = (s.key[a] == s.key[b]) & (s.t[a] != s.t[b])
@@ -178,8 +188,7 @@ EDGE = "part int, place int, edge boolean"
 
 def _neighbours(batches):
     """Matches within a sorted partition; and the suffixes at its ends, as rows with
-    a part: those of its first and last texts, one beyond them, and the least ids
-    of its first and last keys."""
+    a part: those of its first and last texts, and one beyond them."""
     from pyspark import TaskContext
 
     table = pa.Table.from_batches(list(batches)) if batches is not None else None
@@ -198,9 +207,6 @@ def _neighbours(batches):
     head, tail = (int(step[0]), int(step[-1])) if len(step) else (n, 0)
     edge = {*range(head), *range(tail, n)}
     more = {min(head, n - 1), max(tail - 1, 0)}
-    for key in (s.key[0], s.key[-1]):
-        group = np.flatnonzero(s.key == key)
-        more.add(int(group[s.id[group].argmin()]))
     rows = np.array(sorted(edge | more))
     of = table.take(pa.array(rows))
     m = len(rows)
@@ -231,6 +237,15 @@ def matches(suffixes: DataFrame, *sides: str) -> DataFrame:
     return inner.unionByName(spark.createDataFrame(across, MATCH)) if across.num_rows else inner
 
 
+def held(suffixes: DataFrame) -> DataFrame:
+    """MATCH rows of every LEAST words that texts of several ids hold, against the
+    least of these ids; in the text that has it, against the largest."""
+    runs = suffixes.select("t", "id", F.explode("runs").alias("x")).select("t", "id", "x.start", "x.run")
+    ends = runs.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    other = F.when(F.col("least") < F.col("id"), F.col("least")).otherwise(F.col("most"))
+    return runs.join(ends, "run").select("t", "start", (F.col("start") + LEAST).alias("stop"), other.alias("other"), (F.col("least") < F.col("id")).alias("cut"))
+
+
 def _joined(batches):
     """One row (t, start, stop, other, cut) for matches of a text that meet; cut
     and uncut apart."""
@@ -267,7 +282,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     some = some.join(wanted, "id").select("id", "text", "wanted", "t")
     suffixes = stored(some.mapInArrow(_suffixes, SUFFIX).dropDuplicates(["t", "pos"]), "suffixes")
     # the neighbour in one order shares most to the right, in the other most to the left
-    near = matches(suffixes, "right", "left").unionByName(matches(suffixes, "left", "right")).groupBy("t").agg(F.collect_list(F.struct("start", "stop", "other", "cut")).alias("found"))
+    near = matches(suffixes, "right", "left").unionByName(matches(suffixes, "left", "right")).unionByName(held(suffixes)).groupBy("t").agg(F.collect_list(F.struct("start", "stop", "other", "cut")).alias("found"))
     near = checkpointed(near.mapInArrow(_joined, "t long, start long, stop long, other long, cut boolean"))
     discard(suffixes)
     single = rows.filter("t IS NOT NULL AND id IS NOT NULL").select("id", "t").distinct()

@@ -403,6 +403,17 @@ def test_repeats_stay_once(spark):
     assert repeats.without_repeats(make(spark, texts).limit(0)).count() == 0
 
 
+def test_repeats_cut_beside_larger_ids(spark):
+    rng = np.random.default_rng(11)
+    a = prose(rng, 50).split()
+    # the earliest documents hold all runs of KEY words, but under LEAST words
+    texts = [f"{prose(rng, 30)} {' '.join(some)} {prose(rng, 30)}" for some in (a[:49], a[1:])]
+    texts += [f"{prose(rng, 30)} {' '.join(a)} {prose(rng, 30)}" for _ in range(40)]
+    left = {r.doc_id: r.text for r in repeats.without_repeats(make(spark, texts)).collect()}
+    assert sum(m.sum() for m in brute_repeats(left).values()) == 0
+    assert all(left[i] == texts[i] for i in range(3))
+
+
 # ------------------------------------------------------------------ 9 scoring
 
 
