@@ -237,3 +237,12 @@ def test_snap(spark):
     assert got[1].how == "river" and got[1].side == "left" and got[1].ny == pytest.approx(615 + 150)
     assert got[2].how == "stream" and got[2].side == "left(side)" and got[2].ny == pytest.approx(615 + 150)
     assert set(got) == {1, 2}
+
+
+def test_strip_caption_whole_text(spark, tmp_path):
+    from loamgrid.plans import texts
+
+    text = "a" * 30 + " set Fig. 12.tlement " + "b" * 30
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = texts.strip_caption(spark, str(tmp_path)).first().text
+    assert got == "a" * 20 + "x" + "a" * 10 + " settlement " + "b" * 30
