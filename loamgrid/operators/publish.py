@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,29 @@ def sealed(spark, payload: str, phrase: str, salt: bytes, iv: bytes) -> DataFram
     return row.select(F.lit("PBKDF2-SHA256").alias("kdf"), F.lit(ITERATIONS).alias("iterations"), F.lit("AES-256-GCM").alias("cipher"), F.lit("gzip").alias("compression"), F.lit(salt.hex()).alias("salt"), F.lit(iv.hex()).alias("iv"), F.base64(ct).alias("ct"))
 
 
+def sealed_chunks(features: DataFrame, chunk: str, feature: str, phrase: str, salt: bytes, iv: bytes) -> DataFrame:
+    """One row (chunk, kdf, iterations, cipher, compression, salt, iv, ct) for each
+    chunk of features (JSON texts), as sealed() makes it; chunk is a whole number from
+    0 on. Under one key no iv may serve twice: a chunk's is iv plus its number."""
+    if len(phrase) < LEAST_PHRASE:
+        raise ValueError(f"the phrase needs {LEAST_PHRASE} characters")
+    key = hashlib.pbkdf2_hmac("sha256", phrase.encode(), salt, ITERATIONS, 32)
+    first = int.from_bytes(iv, "big")
+
+    def run(batches):
+        for batch in batches:
+            chunks, payloads = (batch.column(i).to_pylist() for i in range(2))
+            ivs = [((first + c) % (1 << 96)).to_bytes(12, "big") for c in chunks]
+            bodies = [gzip.compress(p.encode(), mtime=0) for p in payloads]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(bodies, pa.binary()), pa.array(ivs, pa.binary())], names=["chunk", "body", "iv"])
+
+    listed = F.array_join(F.array_sort(F.collect_list(feature)), ",")
+    payloads = features.groupBy(F.col(chunk).cast("long").alias("chunk")).agg(F.concat(F.lit("["), listed, F.lit("]")).alias("payload"))
+    rows = payloads.mapInArrow(run, "chunk long, body binary, iv binary").withColumn("key", F.lit(bytearray(key)))
+    ct = F.expr("substring(aes_encrypt(body, key, 'GCM', 'DEFAULT', iv), 13)")  # without the leading iv
+    return rows.select("chunk", F.lit("PBKDF2-SHA256").alias("kdf"), F.lit(ITERATIONS).alias("iterations"), F.lit("AES-256-GCM").alias("cipher"), F.lit("gzip").alias("compression"), F.lit(salt.hex()).alias("salt"), F.lower(F.hex("iv")).alias("iv"), F.base64(ct).alias("ct"))
+
+
 def accuracy(snap: Column, placed: Column) -> Column:
     """A: snapped to a named bank; B: snapped; C: placed by rules; D: at the node."""
     return F.when(snap == "named", "A").when(snap == "dem", "B").when(placed.isNotNull() & (placed != "node"), "C").otherwise("D")

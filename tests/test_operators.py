@@ -246,3 +246,21 @@ def test_strip_caption_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = texts.strip_caption(spark, str(tmp_path)).first().text
     assert got == "a" * 20 + "x" + "a" * 10 + " settlement " + "b" * 30
+
+
+def test_sealed_payload_holds_all_sites(spark, tmp_path):
+    import base64
+    import gzip
+    import hashlib
+    import json
+
+    from loamgrid.plans import published
+
+    spark.range(1, 2501).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = published.sealed_payload(spark, str(tmp_path)).collect()
+    key = hashlib.pbkdf2_hmac("sha256", b"a phrase of many words", bytes(range(16)), publish.ITERATIONS, 32)
+    parts = [(bytearray(bytes.fromhex(r.iv) + base64.b64decode(r.ct)), bytearray(key)) for r in rows]
+    opened = spark.createDataFrame(parts, "b binary, k binary").select(F.expr("aes_decrypt(b, k, 'GCM')").alias("p")).collect()
+    ids = [f["properties"]["id"] for r in opened for f in json.loads(gzip.decompress(bytes(r.p)))]
+    assert sorted(ids) == list(range(1, 2501))
+    assert len({r.iv for r in rows}) == len(rows) == 3
