@@ -148,10 +148,11 @@ def cross_validated(df: DataFrame, features: list[str], label: str, fold: str, n
     return out
 
 
-def permuted(df: DataFrame, column: str, key: str) -> DataFrame:
-    """The column's values dealt anew among the rows, in order of a draw on the key."""
+def permuted(df: DataFrame, column: str, key: str, deal: int = 0) -> DataFrame:
+    """The column's values dealt anew among the rows, in order of a hash of the key
+    and the number of the deal."""
     place = df.withColumn("at", F.row_number().over(Window.orderBy(key)))
-    dealt = df.select(F.col(column).alias("dealt"), F.row_number().over(Window.orderBy(draw(F.col(key) * 16807 + 5), key)).alias("at"))
+    dealt = df.select(F.col(column).alias("dealt"), F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(deal)), key)).alias("at"))
     return place.join(dealt, "at").withColumn(column, F.col("dealt")).drop("at", "dealt")
 
 

@@ -264,3 +264,40 @@ def test_sealed_payload_holds_all_sites(spark, tmp_path):
     ids = [f["properties"]["id"] for r in opened for f in json.loads(gzip.decompress(bytes(r.p)))]
     assert sorted(ids) == list(range(1, 2501))
     assert len({r.iv for r in rows}) == len(rows) == 3
+
+
+def test_model_queries_do_the_whole_job(spark, monkeypatch):
+    from loamgrid.plans import statistics as P
+
+    seen = {"trees": set(), "deals": [], "resamples": []}
+    m = spark.createDataFrame([(i, i % 2, i % 5, *[float((i * (j + 3)) % 17) for j in range(12)]) for i in range(200)], ["vec_id", "y", "fold", *[f"e{j + 1}" for j in range(12)]])
+    monkeypatch.setattr(P, "matrix", lambda spark, d: m)
+
+    class Trees:
+        def __init__(self, **told):
+            seen["trees"].add(told["maxIter"])
+
+        def fit(self, rows):
+            return self
+
+        def transform(self, rows):
+            return rows.withColumn("probability", F.lit(0.5)).withColumns({c: F.lit(0) for c in ("rawPrediction", "prediction")})
+
+    monkeypatch.setattr(stats, "GBTClassifier", Trees)
+    monkeypatch.setattr(stats, "vector_to_array", lambda c: F.array(F.lit(0.5), F.lit(0.5)))
+    P.cv_boosting(spark, "")
+    assert seen["trees"] == {300}
+    monkeypatch.undo()
+    monkeypatch.setattr(P, "matrix", lambda spark, d: m)
+    dealt = stats.permuted
+    monkeypatch.setattr(stats, "permuted", lambda df, f, key, *deal: seen["deals"].append((f, *deal)) or dealt(df, f, key, *deal))
+    P.perm_importance(spark, "")
+    assert sorted(set(seen["deals"])) == sorted((f, i) for f in P.FEATURES for i in range(5))
+    assert P.partial_dependence(spark, "").count() == 40
+    orders = [[r.e1 for r in dealt(m, "e1", "vec_id", i).orderBy("vec_id").collect()] for i in range(5)]
+    assert len({tuple(x) for x in orders}) == 5 and all(sorted(x) == sorted(orders[0]) for x in orders)
+    monkeypatch.setattr(P, "table", lambda *a: spark.createDataFrame([(i, float(i % 97), i % 25) for i in range(300)], "s_suppkey long, s_acctbal double, s_nationkey long"))
+    resample = stats.bootstrap_auc
+    monkeypatch.setattr(stats, "bootstrap_auc", lambda *a: seen["resamples"].append(resample(*a).count()) or resample(*a))
+    P.bootstrap_ci(spark, "")
+    assert seen["resamples"] == [2000]
