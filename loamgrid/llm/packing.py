@@ -8,14 +8,16 @@ that crosses a boundary leaves one record on either side. Only the last window
 is short.
 
 Defined results: a null text is an empty one (its only id is the separator);
-repeated rows are packed each; an empty table gives an empty table.
+repeated rows are packed each; an empty table gives an empty table; a kept column
+named like one of the results is left out; a text is held whole while it is encoded.
 """
 
 from __future__ import annotations
 
-import base64
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,61 +28,70 @@ from .common import spans, stored, utf8
 
 WINDOW = 1024
 SEPARATOR = 0
-#: Entries of a worker's cache of encoded words; it starts anew when full.
-CACHE = 400_000
+#: Entries of a worker's cache of encoded words, and their longest. When full it makes
+#: way for a new one, which takes over what is still asked for.
+CACHE, LONGEST = 200_000, 48
+
+#: The white space of the vocabulary's pattern, and characters that
+#: some readers count as such.
+BLANK = " \t\n\v\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+DOUBTFUL = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
 _encoders: dict[str, tuple] = {}
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def encoder(path: str, pattern: str):
+def encoder(path: str):
     """A function from text to the bytes of its ids (little-endian 16 bits).
 
-    Before a single space between other characters the pattern always parts, so
-    texts are parted there and the pieces, which recur, are encoded once."""
+    No token of the pattern holds a blank after another character, so a text parts
+    before each run of blanks, and such a run with the word behind it is encoded alike
+    wherever it stands; these pieces recur and are kept. A text that holds one of the
+    special tokens, or a character of doubtful kind, is encoded at once."""
     if path not in _encoders:
-        import tiktoken
+        from tokenizers import Tokenizer
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        assert max(ranks.values()) < 1 << 16
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _encoders[path] = own, {}, re.compile(r"\s\s")
-    own, known, double = _encoders[path]
+        own = Tokenizer.from_file(path)
+        assert own.get_vocab_size() <= 1 << 16 and sys.byteorder == "little"
+        special = [t.content for t in own.get_added_tokens_decoder().values()]
+        found = re.compile("|".join(map(re.escape, special))) if special else re.compile("(?!)")
+        _encoders[path] = own, [{}, {}], found, re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+    own, known, special, pieces = _encoders[path]
 
     def ids(text: str) -> bytes:
-        return np.array(own.encode_ordinary(text), "<u2").tobytes()
+        return array("H", own.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(text: str) -> bytes:
-        if len(text) < 2 or double.search(text) or text[0].isspace() or text[-1].isspace():
+        if special.search(text) or DOUBTFUL.search(text):
             return ids(text)
-        if len(known) > CACHE:
-            known.clear()
-        head, *rest = text.split(" ")
-        out = [ids(head)]
-        for word in rest:
-            piece = known.get(word)
-            if piece is None:
-                piece = known[word] = ids(" " + word)
-            out.append(piece)
+        words = pieces.findall(text)
+        out = list(map(known[0].get, words))
+        if None in out:
+            new, old = known
+            for i, piece in enumerate(out):
+                if piece is None:
+                    word = words[i]
+                    piece = new.get(word) or old.get(word) or ids(word)
+                    if len(word) <= LONGEST:
+                        new[word] = piece
+                    out[i] = piece
+            if len(new) > CACHE:
+                known[:] = {}, new
         return b"".join(out)
 
     return encode
 
 
-ENCODED = "keep struct<{}>, part int, at long, n long, ids binary"
-
-
-def _encoded(keep: list[str], path: str, pattern: str):
+def _encoded(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, end = encoder(path, pattern), np.array([SEPARATOR], "<u2").tobytes()
+        encode, end = encoder(path), np.array([SEPARATOR], "<u2").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
@@ -92,27 +103,35 @@ def _encoded(keep: list[str], path: str, pattern: str):
                 n = np.array([len(x) // 2 for x in out], np.int64)
                 begin = at + np.cumsum(n) - n
                 at += int(n.sum())
-                columns = [batch.column(i).slice(a, b - a) for i in range(len(keep))]
+                columns = [c.slice(a, b - a) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(np.full(b - a, part, np.int32)), pa.array(begin), pa.array(n), pa.array(out, pa.binary())],
-                    names=[*keep, "part", "at", "n", "ids"],
+                    names=[*batch.schema.names[:-1], "part", "at", "n", "ids"],
                 )
 
     return run
 
 
+def _own(keep: list[str]) -> list[str]:
+    """Names of kept columns while others stand beside them."""
+    return [f"keep_{i}" for i in range(len(keep))]
+
+
 def encoded(docs: DataFrame, keep: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
-    """Pass 1, written: kept columns, part, at (offset in the partition), n, ids."""
-    import public_tokenizers
+    """Pass 1, written: kept columns (named keep_0 and so on), part, at (offset in the
+    partition), n, ids."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, _own(keep))], F.col(f"`{text_col}`").alias("packed_text"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return stored(rows.mapInArrow(_encoded(path or tokenizer_path()), f"{schema}part int, at long, n long, ids binary"), "tokens")
+
 
-    rows = docs.select(*keep, F.col(text_col).alias("packed_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    run = _encoded(keep, path or tokenizer_path(), public_tokenizers.PATTERN)
-    return stored(rows.mapInArrow(run, f"{schema}, part int, at long, n long, ids binary"), "tokens")
+RESULTS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "sequence_tokens")
 
 
-def pieces(ids: DataFrame, keep: list[str], window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """Pass 2: a row for each document and window that it meets."""
+def pieces(ids: DataFrame, names: list[str], window: int = WINDOW, with_ids: bool = False) -> DataFrame:
+    """Pass 2: a row for each document and window that it meets; names: of the kept
+    columns of encoded()."""
+    keep = _own(names)
     totals = ids.groupBy("part").agg(F.sum("n").alias("total")).orderBy("part").collect()  # a row per partition
     base, total = {}, 0
     for x in totals:
@@ -153,11 +172,13 @@ def pieces(ids: DataFrame, keep: list[str], window: int = WINDOW, with_ids: bool
                     names=[*keep, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"][: len(extra)]],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.select(*keep).schema.fields)
-    schema += ", start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ids.select(*keep).schema.fields)
+    schema += "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     out = ids.mapInArrow(run, schema)
     used = F.when(F.col("sequence_id") == F.lit(last), F.lit(total - last * window)).otherwise(F.lit(window))
-    return out.withColumn("sequence_tokens", used.cast("long"))
+    out = out.withColumn("sequence_tokens", used.cast("long"))
+    kept = [F.col(k).alias(c) for k, c in zip(keep, names) if c not in RESULTS]
+    return out.select(*kept, *[c for c in RESULTS if c in out.columns])
 
 
 def pack(docs: DataFrame, keep: list[str] | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
