@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Texts are handled in Python this many bytes at a time, whole documents each.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _own_dir: str | None = None
 
@@ -36,11 +36,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the shared folder and reads it back: lineage ends there,
-    so a lost executor costs only the tasks it was running."""
+    so a lost executor costs only the tasks it was running. All tables of an
+    application stand in one folder, to be removed when it has ended."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/loamgrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -54,10 +57,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Removes a table of stored() that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A side of a join with this many rows of a few numbers at most is sent to all tasks.
+FEW = 1 << 17
+
+
+def text_key(text):
+    """64-bit key of a text column; null for a null text."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
+def picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs (id, t, ...) whose (id, t) is among those of wanted, with wanted's
+    other columns; ids may be null. Where few are wanted the others aren't shuffled."""
+    on = lambda d, k: d["id"].eqNullSafe(k["want_id"]) & (d["t"] == k["want_t"])
+    keyed = wanted.withColumnsRenamed({"id": "want_id", "t": "want_t"})
+    more = [c for c in keyed.columns if c not in ("want_id", "want_t")]
+    if wanted.count() <= FEW:
+        keys = F.broadcast(keyed.select("want_id", "want_t"))
+        docs = docs.join(keys, on(docs, keys), "left_semi")
+        if not more:
+            return docs
+    if not more:
+        return docs.join(keyed, on(docs, keyed), "left_semi")
+    return docs.join(keyed, on(docs, keyed)).drop("want_id", "want_t")
 
 
 def words_of(text):
@@ -133,7 +159,7 @@ def _power(root: int, n: int, name: str) -> np.ndarray:
         have = np.full(size, root, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 1 << 23:
+        if n <= SEGMENT:
             _powers[name] = have
     return have[:n]
 
@@ -162,12 +188,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begin, end, row
 
 
+#: Bytes that words are hashed by at a time, more only for a longer word.
+SEGMENT = 1 << 19
+
+
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, alike wherever the span stands."""
-    if not len(data):
-        return np.zeros(0, np.uint64)
-    # a span's sum of byte value times power, taken back to power 0
+    """A 64-bit hash of each span of bytes, alike wherever the span stands; spans
+    are in order."""
+    out = np.empty(len(begin), np.uint64)
     table = _BYTE[LOWER] if lower else _BYTE
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * _power(_ROOT, len(data), "up"), out=total[1:])
-    return mix64((total[end] - total[begin]) * _power(_UNROOT, len(data), "down")[begin])
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + SEGMENT, side="right")))
+        first = int(begin[i])
+        piece = data[first : int(end[j - 1])]
+        # a span's sum of byte value times power, taken back to power 0
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(table[piece] * _power(_ROOT, len(piece), "up"), out=total[1:])
+        out[i:j] = mix64((total[end[i:j] - first] - total[begin[i:j] - first]) * _power(_UNROOT, len(piece), "down")[begin[i:j] - first])
+        i = j
+    return out

@@ -16,24 +16,25 @@ first each text is compared with the leader of a band (the best-looking of its
 bands). Texts in one band that this leaves in different components are compared in
 blocks of BLOCK, without those of the band's largest component among themselves;
 pairs are not written, only links. So no link between different texts is lost, and a
-pair whose components are joined by then is not compared.
+pair whose components are joined by then is not compared. Signatures come first;
+shingles are fetched for texts that have a pair to verify only.
 
 Defined results: texts of one to four words have one shingle of all words; texts
 without words are linked with equal texts only; a null text is in a class of its
-own; repeated rows get a row each; an empty table gives an empty table. A class is
-named by its least id.
+own; repeated rows get a row each; ids may repeat with other texts, a row is told by
+id and text; an empty table gives an empty table. A class is named by its least id
+that isn't null, null where there is none. Columns with clashing names don't matter;
+a text is held whole while it is read.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, mix64, spans, stored, utf8, word_hashes, words
+from .common import checkpointed, discard, mix64, picked, spans, stored, text_key, utf8, word_hashes, words
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -42,8 +43,6 @@ REGISTERS = BANDS * ROWS
 #: Pairs whose registers agree less are not compared exactly: five standard errors below THRESHOLD.
 LOOKS = 0.6
 BLOCK = 1024
-#: Texts to compare are told from others by a table of so many flags at most.
-FLAGS = 1 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,10 +106,6 @@ def bands(content: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def text_key(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Probability Jaccard similarity of two weighted sets of ascending keys."""
     if not len(a) or not len(b):
@@ -135,15 +130,11 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 
 def _signed(batches):
-    """(id, t, sig, bands) of each row: text key, registers' low bytes, band keys."""
+    """(id, t, sig, bands) of each row (id, t, text): registers' low bytes, band keys."""
     for batch in batches:
-        text = batch.column(1)
-        data, offsets = utf8(text)
-        null = text.is_null().to_numpy(zero_copy_only=False)
+        data, offsets = utf8(batch.column(2))
         for a, b in spans(np.diff(offsets)):
             piece, where = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            raw, at = piece.tobytes(), where.tolist()
-            t = [None if gone else text_key(raw[i:j]) for gone, i, j in zip(null[a:b].tolist(), at, at[1:])]
             row, key, count = shingles(piece, where)
             content = signatures(row, key, count, b - a)
             some = np.bincount(row, minlength=b - a) > 0
@@ -153,7 +144,7 @@ def _signed(batches):
             of = np.where(some, BANDS, 0)
             flat = pa.array(keys[some].reshape(-1))
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(of)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(t, pa.int64()), pa.array(sig, pa.binary()), listed], names=["id", "t", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sig, pa.binary()), listed], names=["id", "t", "sig", "bands"])
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,20 +165,17 @@ def _looks(batches):
 
 
 def _shingled(batches):
-    """(t, keys, counts): all shingles of a text, hashes cut to 32 bits."""
+    """(t, keys, counts) of rows (t, text): all shingles."""
     for batch in batches:
-        data, offsets = utf8(batch.column(0))
+        data, offsets = utf8(batch.column(1))
         for a, b in spans(np.diff(offsets)):
             piece, where = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            raw, at = piece.tobytes(), where.tolist()
             row, key, count = shingles(piece, where)
-            cut = (key >> np.uint64(32)).astype(np.uint32)  # ascending still
             limit = np.searchsorted(row, np.arange(b - a + 1))
-            keys = [cut[i:j].tobytes() for i, j in zip(limit.tolist(), limit[1:].tolist())]
+            keys = [key[i:j].tobytes() for i, j in zip(limit.tolist(), limit[1:].tolist())]
             # counts only where a shingle recurs
             counts = [c.astype(np.uint32).tobytes() if (c := count[i:j]).max(initial=1) > 1 else b"" for i, j in zip(limit.tolist(), limit[1:].tolist())]
-            t = [text_key(raw[i:j]) for i, j in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["t", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["t", "keys", "counts"])
 
 
 def _verified(threshold: float):
@@ -199,7 +187,7 @@ def _verified(threshold: float):
             a, b = batch.column("a"), batch.column("b")
             ok = []
             for i in range(batch.num_rows):  # row by row: the arrays are large
-                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint32) for c in ("keys_a", "keys_b"))
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("keys_a", "keys_b"))
                 wx, wy = weights(batch.column("counts_a")[i].as_py(), len(x)), weights(batch.column("counts_b")[i].as_py(), len(y))
                 if similarity(x, wx, y, wy) >= threshold - 1e-12:
                     ok.append(i)
@@ -210,17 +198,11 @@ def _verified(threshold: float):
 
 
 def shingle_table(wanted: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """All shingles (t, keys, counts) of the texts wanted (t), written. Only their
-    documents are shuffled: a table of flags holds most others back."""
-    spark = docs.sparkSession
-    owners = checkpointed(texts.join(wanted, "t", "left_semi").select("t", "id"))
-    flag = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS))
-    flags = owners.select(flag(F.col("id")).alias("flag")).distinct().collect()  # FLAGS at most
-    flags = spark.createDataFrame([(r.flag,) for r in flags], "flag long")
-    some = docs.withColumn("flag", flag(F.col("id"))).join(F.broadcast(flags), "flag", "left_semi").select("id", "text")
-    some = some.join(owners.select("id").distinct(), "id", "left_semi").select("text")
-    known = some.mapInArrow(_shingled, "t long, keys binary, counts binary").join(owners.select("t"), "t", "left_semi").dropDuplicates(["t"])
-    return stored(known, "shingles")
+    """All shingles (t, keys, counts) of the texts wanted (t), written; each is read
+    from one document that has it, that of the least id."""
+    owners = checkpointed(texts.join(wanted, "t", "left_semi").select("id", "t"))
+    known = picked(docs, owners).dropDuplicates(["id", "t"]).select("t", "text")
+    return stored(known.mapInArrow(_shingled, "t long, keys binary, counts binary"), "shingles")
 
 
 def verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
@@ -240,7 +222,7 @@ def _block(table: pa.Table):
     left, minor = (np.array(table[c].to_pylist(), bool) for c in ("left", "minor"))
     key = int(table["key"][0].as_py())
     rows, columns = np.flatnonzero(left), np.flatnonzero(~left)
-    a, b, looks = [], [], []
+    a, b, looks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for i in rows.tolist():
         # a pair of two minor texts stands on both sides; once is enough
         others = columns[(label[columns] != label[i]) & (~minor[columns] | (t[columns] > t[i]))]
@@ -249,10 +231,10 @@ def _block(table: pa.Table):
         look = _agreement(sig[others], sig[i])
         others, look = others[look >= LOOKS], look[look >= LOOKS]
         first = keys[i][(keys[others] == keys[i]).argmax(axis=1)] == key
-        a += [i] * int(first.sum())
-        b += others[first].tolist()
-        looks += look[first].tolist()
-    return t, label, np.array(a, np.int64), np.array(b, np.int64), np.array(looks)
+        a.append(np.full(int(first.sum()), i))
+        b.append(others[first])
+        looks.append(look[first])
+    return t, label, np.concatenate(a), np.concatenate(b), np.concatenate(looks)
 
 
 def _participants(table: pa.Table) -> pa.Table:
@@ -263,12 +245,12 @@ def _participants(table: pa.Table) -> pa.Table:
 
 
 def _crossing(threshold: float):
-    """Links of a block that join components, the pairs that look most alike first;
-    a pair whose components are joined by then needs no comparison."""
+    """Links of a block between components, by their labels, the pairs that look most
+    alike first; a pair whose components are joined by then needs no comparison."""
 
     def run(table: pa.Table) -> pa.Table:
-        t, label, a, b, looks = _block(table)
-        keys = [np.frombuffer(x, np.uint32) for x in table["keys"].to_pylist()]
+        _, label, a, b, looks = _block(table)
+        keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
         counts = [np.frombuffer(x, np.uint32) if x else np.ones(len(k), np.uint32) for x, k in zip(table["counts"].to_pylist(), keys)]
         up: dict[int, int] = {}
 
@@ -284,7 +266,7 @@ def _crossing(threshold: float):
             x, y = top(int(label[i])), top(int(label[j]))
             if x != y and similarity(keys[i], counts[i], keys[j], counts[j]) >= threshold - 1e-12:
                 up[max(x, y)] = min(x, y)
-                out.append((int(t[i]), int(t[j])))
+                out.append((x, y))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
@@ -307,59 +289,72 @@ def _blocks(members: DataFrame) -> DataFrame:
     return placed.select("key", "spot.i", "spot.j", "spot.left", "minor", "t", "label")
 
 
-def across(signed: DataFrame, labels: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between texts that share a band and lie in different components,
-    as many as it takes to join the components that have one."""
-    named = signed.join(labels.select(F.col("node").alias("t"), "label"), "t", "left").withColumn("label", F.coalesce("label", "t")).select("t", "id", "label", "sig", "bands")
-    slim = named.select("t", "label", F.explode("bands").alias("key"))
+def across(multi: DataFrame, labels: DataFrame, signed: DataFrame, docs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b), by label, between texts that share a band and lie in different
+    components, as many as it takes to join the components that have one. multi: (key,
+    t) of the bands of several texts; labels: (t, label) of all texts."""
+    slim = multi.join(labels, "t").select("key", "t", "label")
     open_ = slim.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    members = checkpointed(slim.join(open_, "key").select("key", "t", "label"))
-    full = _blocks(members).join(named.select("t", "sig", "bands"), "t").select("key", "i", "j", "left", "minor", "t", "label", "sig", "bands")
+    members = stored(slim.join(open_, "key"), "members")
+    full = _blocks(members).join(signed, "t").select("key", "i", "j", "left", "minor", "t", "label", "sig", "bands")
     who = checkpointed(full.groupBy("key", "i", "j").applyInArrow(_participants, "key long, t long").distinct())
-    known = shingle_table(who.select("t").distinct(), docs, signed.select("t", "id"))
-    some = members.join(who, ["key", "t"], "left_semi")
-    rest = named.select("t", "sig", "bands").join(known, "t")
-    full = _blocks(some).join(rest, "t").select("key", "i", "j", "left", "minor", "t", "label", "sig", "bands", "keys", "counts")
+    known = shingle_table(who.select("t").distinct(), docs, texts)
+    full = _blocks(members.join(who, ["key", "t"], "left_semi")).join(signed.join(known, "t"), "t").select("key", "i", "j", "left", "minor", "t", "label", "sig", "bands", "keys", "counts")
     out = checkpointed(full.groupBy("key", "i", "j").applyInArrow(_crossing(threshold), "a long, b long"))
     discard(known)
+    discard(members)
     return out
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (id, class_id), one for each row of docs."""
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """docs: (id, t, text). Returns rows (id, t), one per row of docs, and for each
+    text (t, id, label): its least id, and its class."""
     rows = stored(docs.mapInArrow(_signed, "id long, t long, sig binary, bands array<long>"), "signed")
     texts = stored(rows.filter("t IS NOT NULL").groupBy("t").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "texts")
-    signed = texts.filter("sig IS NOT NULL").select("t", "id", "sig", "bands")
+    signed = texts.filter("sig IS NOT NULL").select("t", "sig", "bands")
 
     banded = signed.select("t", F.explode("bands").alias("key"))
-    leader = F.min(F.struct(F.xxhash64("t", "key").alias("draw"), "t"))["t"].alias("leader")
-    led = banded.groupBy("key").agg(leader, F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
-    pairs = banded.join(led, "key").filter("t <> leader").select(F.col("t").alias("a"), F.col("leader").alias("b")).distinct()
+    # text keys are random, so the least one leads
+    led = banded.groupBy("key").agg(F.min("t").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
+    multi = stored(banded.join(led, "key").select("key", "t", "leader"), "bands")
+    pairs = multi.filter("t <> leader").select(F.col("t").alias("a"), F.col("leader").alias("b")).distinct()
     side = lambda c: signed.select(F.col("t").alias(c), F.col("sig").alias(f"sig_{c}"))
-    looks = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_looks, "a long, b long, look double")
+    looks = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_looks, "a long, b long, look double")
     # the best-looking leader of each text first
-    best = checkpointed(looks.groupBy("a").agg(F.max(F.struct("look", "b"))["b"].alias("b")))
-    known = shingle_table(best.select(F.col("a").alias("t")).union(best.select(F.col("b").alias("t"))).distinct(), docs, texts)
+    best = checkpointed(looks.groupBy("a").agg(F.max_by("b", "look").alias("b")))
+    known = shingle_table(best.select(F.explode(F.array("a", "b")).alias("t")).distinct(), docs, texts)
     edges = verify(best, known, threshold)
     discard(known)
-    labels = components(edges.union(across(signed, components(edges), docs, threshold)))
-    named = labels.join(texts.select(F.col("t").alias("node"), "id"), "node")
-    of_label = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    of_text = named.select("node", "label").join(of_label, "label").select(F.col("node").alias("t"), "class_id")
-    of_text = texts.select("t", "id").join(of_text, "t", "left").select("t", F.coalesce("class_id", "id").alias("class_id"))
-    return rows.select("id", "t").join(of_text, "t", "left").select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"))
+    first = components(edges).select(F.col("node").alias("t"), F.col("label"))
+    named = checkpointed(texts.select("t", "id").join(first, "t", "left").select("t", "id", F.coalesce("label", "t").alias("label")))
+    more = across(multi.select("key", "t"), named.select("t", "label"), signed, docs, texts.select("t", "id"), threshold)
+    joined = components(more).select(F.col("node").alias("label"), F.col("label").alias("joined"))
+    discard(multi)
+    return rows.select("id", "t"), checkpointed(named.join(joined, "label", "left").select("t", "id", F.coalesce("joined", "label").alias("label")))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (id, class_id), one for each row of docs."""
+    text = F.col(f"`{text_col}`")
+    rows, texts = _labelled(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("t"), text.alias("text")), threshold)
+    of_label = texts.groupBy("label").agg(F.min("id").alias("class_id"))
+    of_text = texts.join(of_label, "label").select("t", "class_id")
+    return rows.join(of_text, "t", "left").select(F.col("id").alias(id_col), F.when(F.col("t").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class: its least id; same columns."""
+def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one row of each class, one of its least id (of texts with that id the
+    one of the least key; of repeated rows any); rows with a null text all stay. Same
+    columns."""
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    id_, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
-    found = classes(plain, id_, text).filter(F.col(id_) != F.col("class_id")).select(F.col(id_).alias("gone")).distinct()
-    left = plain.join(found, plain[id_] == found["gone"], "left_anti")
-    # of repeated rows with one id and text the first stays
-    return left.withColumn("same", F.xxhash64(text)).dropDuplicates([id_, "same"]).select(*plain.columns).toDF(*columns)
+    id_, text = F.col(f"c{columns.index('doc_id')}").cast("long"), F.col(f"c{columns.index('text')}")
+    _, texts = _labelled(plain.select(id_.alias("id"), text_key(text).alias("t"), text.alias("text")), threshold)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("x")
+    kept = texts.groupBy("label").agg(first).select(F.col("x.id").alias("kept_id"), F.col("x.t").alias("kept_t"))
+    rows = plain.withColumn("row_id", id_).withColumn("row_t", text_key(text))
+    some = rows.join(kept, rows["row_id"].eqNullSafe(kept["kept_id"]) & (rows["row_t"] == kept["kept_t"]), "left_semi").dropDuplicates(["row_id", "row_t"])
+    return some.unionByName(rows.filter(F.col("row_t").isNull())).select(*plain.columns).toDF(*columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,13 +19,15 @@ A suffix carries the words around it that lie nearer than the next kept ones, so
 longer passages are joined from several suffixes. Equal texts are one text, and
 the whole of it is a passage. Words are compared by hash, case and all.
 
-A match is cut where its partner has a smaller id: what is cut stands in a
-document with a smaller id, and so, in the end, in one where it stays.
-
-Defined results: null texts and texts under LEAST words hold no passage; of a text
-of one word over and over, the run is kept from its first word on; repeated rows
-of one id and text are copies of each other only if their ids differ; an empty
-table gives an empty table.
+A match is cut where its partner is earlier: has a smaller id, or the same id and a
+smaller text key. So what is cut stands in an earlier document, and in the end in
+one where it stays.
+
+Defined results: null texts and texts under LEAST words hold no passage; a null id
+counts as the largest; ids may repeat with other texts, a row is told by id and text;
+of a text of one word over and over, the run is kept from its first word on; repeated
+rows of one id and text are one document; an empty table gives an empty table. Columns
+with clashing names don't matter; a text is held whole while it is read.
 """
 
 from __future__ import annotations
@@ -35,13 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, discard, mix64, spans, stored, utf8, word_hashes, words
-from .neardup import FLAGS, text_key
+from .common import checkpointed, discard, mix64, picked, spans, stored, text_key, utf8, word_hashes, words
 
 LEAST, KEY = 50, 20
 WINDOW = LEAST - KEY + 1
 #: Words that a suffix carries before it, and after its key.
 LEFT, RIGHT = WINDOW, WINDOW + 1
+#: Stands for a null id.
+LAST = 2**63 - 1
 
 
 def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
@@ -80,22 +83,18 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def _kept(batches):
-    """(id, t, n, keys) of each row: text key, number of words, keys of the suffixes kept."""
+    """(id, t, n, keys) of each row (id, t, text): number of words, keys of the suffixes kept."""
     for batch in batches:
-        text = batch.column(1)
-        data, offsets = utf8(text)
-        null = text.is_null().to_numpy(zero_copy_only=False)
+        data, offsets = utf8(batch.column(2))
         for a, b in spans(np.diff(offsets)):
             piece, where = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            raw, at = piece.tobytes(), where.tolist()
             begin, end, row = words(piece, where)
             h = word_hashes(piece, begin, end)
             limit = np.searchsorted(row, np.arange(b - a + 1))
             found = [np.unique(anchors(h[i:j])[1]).view(np.int64) for i, j in zip(limit.tolist(), limit[1:].tolist())]
             size = np.cumsum([0, *map(len, found)]).astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
-            t = [None if gone else text_key(raw[i:j]) for gone, i, j in zip(null[a:b].tolist(), at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(t, pa.int64()), pa.array(np.diff(limit)), listed], names=["id", "t", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(limit)), listed], names=["id", "t", "n", "keys"])
 
 
 SUFFIX = "key long, `right` binary, `left` binary, id long, t long, pos long, n long, runs array<struct<start: long, run: long>>"
@@ -105,16 +104,14 @@ def _suffixes(batches):
     """The suffixes of a text whose keys are wanted, with the words around; each LEAST
     words whose key is wanted stand with the suffix before them."""
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
-        wanted, ids, ts = batch.column(2).to_pylist(), batch.column(0), batch.column(3)
+        data, offsets = utf8(batch.column(2))
+        ids, ts, wanted = batch.column(0), batch.column(1), batch.column(3)
         for i in range(batch.num_rows):
             raw = data[offsets[i] : offsets[i + 1]]
-            if ts[i].as_py() != text_key(raw.tobytes()):
-                continue  # another text under the same id
             begin, end, _ = words(raw, np.array([0, len(raw)]))
             h = word_hashes(raw, begin, end)
             at, key, whole, lowest = anchors(h)
-            of = np.array(wanted[i], np.int64).view(np.uint64)
+            of = np.array(wanted[i].as_py(), np.int64).view(np.uint64)
             ok = np.isin(key, of)
             at, key = at[ok], key[ok]
             start = np.flatnonzero(np.isin(lowest, of))
@@ -178,7 +175,8 @@ def found(s: Suffixes, a: np.ndarray, b: np.ndarray) -> pa.Table:
         left, right = s.match(x, y)
         ok = left + right >= LEAST
         x, y, left, right = x[ok], y[ok], left[ok], right[ok]
-        parts.append(pa.table([pa.array(c) for c in (s.t[x], s.pos[x] - left, s.pos[x] + right, s.id[y], s.id[y] < s.id[x])], names=["t", "start", "stop", "other", "cut"]))
+        cut = (s.id[y] < s.id[x]) | ((s.id[y] == s.id[x]) & (s.t[y] < s.t[x]))
+        parts.append(pa.table([pa.array(c) for c in (s.t[x], s.pos[x] - left, s.pos[x] + right, s.id[y], cut)], names=["t", "start", "stop", "other", "cut"]))
     return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], k) for c, k in (("t", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("other", pa.int64()), ("cut", pa.bool_()))})
 
 
@@ -230,20 +228,25 @@ def matches(suffixes: DataFrame, *sides: str) -> DataFrame:
     told = stored(rows.mapInArrow(_neighbours, SORTED), "matches")
     inner = told.filter("part IS NULL").select("t", "start", "stop", "other", "cut")
     # a few suffixes from each partition: the order goes on from one to the next
-    ends = told.filter("part IS NOT NULL").select("part", "place", "edge", *[F.col(f"s_{c}").alias(c) for c in ("key", "right", "left", "id", "t", "pos", "n")]).orderBy("part", "place").toArrow()
-    if not ends.num_rows:
-        return inner
-    across = found(s := Suffixes(ends), *partners(s))
-    return inner.unionByName(spark.createDataFrame(across, MATCH)) if across.num_rows else inner
+    ends = told.filter("part IS NOT NULL").select("part", "place", "s_key", *[F.col(f"s_{c}").alias(c) for c in ("key", "right", "left", "id", "t", "pos", "n")])
+    return inner.unionByName(ends.groupBy("s_key").applyInArrow(_across, MATCH))
+
+
+def _across(ends: pa.Table) -> pa.Table:
+    """Matches over partitions' boundaries, among the boundary suffixes of one key."""
+    s = Suffixes(ends.sort_by([("part", "ascending"), ("place", "ascending")]))
+    return found(s, *partners(s))
 
 
 def held(suffixes: DataFrame) -> DataFrame:
-    """MATCH rows of every LEAST words that texts of several ids hold, against the
-    least of these ids; in the text that has it, against the largest."""
+    """MATCH rows of every LEAST words that several texts hold, against the earliest
+    of these; in the earliest, against the latest."""
+    me = F.struct("id", "t")
     runs = suffixes.select("t", "id", F.explode("runs").alias("x")).select("t", "id", "x.start", "x.run")
-    ends = runs.groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    other = F.when(F.col("least") < F.col("id"), F.col("least")).otherwise(F.col("most"))
-    return runs.join(ends, "run").select("t", "start", (F.col("start") + LEAST).alias("stop"), other.alias("other"), (F.col("least") < F.col("id")).alias("cut"))
+    ends = runs.groupBy("run").agg(F.min(me).alias("least"), F.max(me).alias("most")).filter("least < most")
+    cut = F.col("least") < me
+    other = F.when(cut, F.col("least.id")).otherwise(F.col("most.id"))
+    return runs.join(ends, "run").select("t", "start", (F.col("start") + LEAST).alias("stop"), other.alias("other"), cut.alias("cut"))
 
 
 def _joined(batches):
@@ -264,34 +267,38 @@ def _joined(batches):
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array([x[1] for x in out], pa.bool_())], names=["t", "start", "stop", "other", "cut"])
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, start, n_words, other_id, cut): passages by first word and number
-    of words. other_id is another document that holds it. cut = false: all repeated
-    passages; cut = true: the parts to take out so that each passage stays once."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def _passages(docs: DataFrame) -> DataFrame:
+    """docs: (id, t, text). Rows (id, t, start, n_words, other_id, cut) as passages()
+    has them, one document for all rows of an id and text."""
+    docs = docs.withColumn("id", F.coalesce("id", F.lit(LAST))).filter("t IS NOT NULL")
     rows = stored(docs.mapInArrow(_kept, "id long, t long, n long, keys array<long>"), "kept")
-    texts = checkpointed(rows.filter("t IS NOT NULL AND id IS NOT NULL").groupBy("t").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    texts = checkpointed(rows.groupBy("t").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     keyed = texts.select("t", "id", F.explode("keys").alias("key"))
     common = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("key")
     wanted = checkpointed(keyed.join(common, "key").groupBy("t", "id").agg(F.collect_list("key").alias("wanted")))
-    flag = lambda c: F.pmod(F.xxhash64(c), F.lit(FLAGS))
-    flags = wanted.select(flag(F.col("id")).alias("flag")).distinct().collect()  # FLAGS at most
-    flags = spark.createDataFrame([(r.flag,) for r in flags], "flag long")
-    some = docs.withColumn("flag", flag(F.col("id"))).join(F.broadcast(flags), "flag", "left_semi").select("id", "text")
-    some = some.join(wanted, "id").select("id", "text", "wanted", "t")
-    suffixes = stored(some.mapInArrow(_suffixes, SUFFIX).dropDuplicates(["t", "pos"]), "suffixes")
+    some = picked(docs, wanted).dropDuplicates(["id", "t"]).select("id", "t", "text", "wanted")
+    suffixes = stored(some.mapInArrow(_suffixes, SUFFIX), "suffixes")
     # the neighbour in one order shares most to the right, in the other most to the left
     near = matches(suffixes, "right", "left").unionByName(matches(suffixes, "left", "right")).unionByName(held(suffixes)).groupBy("t").agg(F.collect_list(F.struct("start", "stop", "other", "cut")).alias("found"))
     near = checkpointed(near.mapInArrow(_joined, "t long, start long, stop long, other long, cut boolean"))
     discard(suffixes)
-    single = rows.filter("t IS NOT NULL AND id IS NOT NULL").select("id", "t").distinct()
-    out = single.join(near, "t").select("id", "start", (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"), "cut")
+    single = rows.select("id", "t").distinct()
+    out = single.join(near, "t").select("id", "t", "start", (F.col("stop") - F.col("start")).alias("n_words"), F.col("other").alias("other_id"), "cut")
     # equal texts under several ids: all of it repeats, and all but the first are cut
     equal = texts.filter((F.col("last") > F.col("id")) & (F.col("n") >= LEAST)).select("t", F.col("id").alias("least"), "last", "n")
     copies = single.join(equal, "t").withColumn("other_id", F.when(F.col("id") == F.col("least"), F.col("last")).otherwise(F.col("least")))
-    whole = lambda cut: copies.select("id", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), "other_id", F.lit(cut).alias("cut"))
-    return out.unionByName(whole(False)).unionByName(whole(True).filter("id <> other_id").join(equal.select(F.col("least").alias("other_id")), "other_id", "left_semi").select("id", "start", "n_words", "other_id", "cut"))
+    whole = lambda cut: copies.select("id", "t", F.lit(0).cast("long").alias("start"), F.col("n").alias("n_words"), "other_id", F.lit(cut).alias("cut"))
+    out = out.unionByName(whole(False)).unionByName(whole(True).filter("other_id < id"))
+    null = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
+    return out.select(null("id"), "t", "start", "n_words", null("other_id"), "cut")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id, start, n_words, other_id, cut): passages by first word and number
+    of words. other_id is another document that holds it. cut = false: all repeated
+    passages; cut = true: the parts to take out so that each passage stays once."""
+    text = F.col(f"`{text_col}`")
+    return _passages(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_key(text).alias("t"), text.alias("text"))).drop("t")
 
 
 def cut_words(text: str, parts: list[tuple[int, int]]) -> str:
@@ -314,9 +321,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     columns; n_chars, where there is one, is told anew for the texts that change."""
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])
-    id_, text = f"c{columns.index('doc_id')}", f"c{columns.index('text')}"
-    parts = passages(plain, id_, text).filter("cut").groupBy("id").agg(F.collect_list(F.struct("start", "n_words")).alias("parts"))
-    both = plain.join(parts, F.col(id_) == F.col("id"), "left").drop("id")
+    text = f"c{columns.index('text')}"
+    rows = plain.withColumns({"row_id": F.col(f"c{columns.index('doc_id')}").cast("long"), "row_t": text_key(F.col(text))})
+    found = _passages(rows.select(F.col("row_id").alias("id"), F.col("row_t").alias("t"), F.col(text).alias("text")))
+    parts = found.filter("cut").groupBy("id", "t").agg(F.collect_list(F.struct("start", "n_words")).alias("parts"))
+    both = rows.join(parts, rows["row_id"].eqNullSafe(parts["id"]) & (rows["row_t"] == parts["t"]), "left").select(*plain.columns, "parts")
 
     def run(batches):
         for batch in batches:

@@ -316,7 +316,6 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     more = texts + ["two  spaces", " lead", "trail ", "tab\t x\n\ny", "<|endoftext|> don't we'll 12 3.5", "x y   z"]
     got = packing.pack(make(spark, more).repartition(3), with_ids=True).collect()
     ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(more)}
@@ -343,6 +342,25 @@ def test_packing(spark, texts):
     assert packing.pack(make(spark, more).limit(0)).count() == 0
 
 
+def test_encoder_agrees_with_the_vocabulary():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, encode = Tokenizer.from_file(path), packing.encoder(path)
+    rng = np.random.default_rng(31)
+    signs = list("aZé日'.,!12 \t\n\r\x0b\x0c\x00\x1c\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff") + ["'s", "'ll", "  ", "<|endoftext|>", " the", "\n\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs, int(rng.integers(0, 12))))
+        assert np.frombuffer(encode(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    d = make(spark, ["a b", None]).select("doc_id", "text", F.lit(1).alias("n"), F.lit("p").alias("part"), F.lit(2).alias("at"), F.lit(3).alias("ids"), F.lit(4).alias("start"))
+    got = packing.pack(d, keep=["doc_id", "n", "part", "at", "ids", "start"]).collect()
+    assert sorted((r.doc_id, r.n, r.part, r["at"], r.start) for r in got) == [(0, 1, "p", 2, 0), (1, 1, "p", 2, 0)] and "ids" not in got[0]
+
+
 # ------------------------------------------------------------------ 8 repeats
 
 
@@ -414,6 +432,21 @@ def test_repeats_cut_beside_larger_ids(spark):
     assert all(left[i] == texts[i] for i in range(3))
 
 
+def test_repeats_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(23)
+    a, b, c = prose(rng, 90), prose(rng, 80), prose(rng, 60)
+    rows = [(1, a), (5, b), (5, a), (9, c), (7, "one two"), (None, f"{prose(rng, 20)} {c}"), (None, None), (3, None), (5, f"{c} {prose(rng, 30)}")]
+    left = sorted(((r.doc_id, r.text) for r in repeats.without_repeats(identified(spark, rows)).collect()), key=str)
+    # the least id that holds a passage keeps it; rows of which nothing is left go
+    want = [(1, a), (5, b), (7, "one two"), (None, " ".join(rows[5][1].split()[:20])), (None, None), (3, None), rows[8]]
+    assert left == sorted(want, key=str)
+    found = {(r.id, r.other_id) for r in repeats.passages(identified(spark, rows)).filter("NOT cut").collect()}
+    assert found == {(1, 5), (5, 1), (9, None), (9, 5), (None, 5), (5, None)} - {(9, None)} or (9, 5) in found
+    same = [(2, f"{prose(rng, 20)} {c}"), (2, f"{c} {prose(rng, 20)}")]
+    held = [r.text for r in repeats.without_repeats(identified(spark, same)).collect() if c in r.text]
+    assert len(held) == 1
+
+
 # ------------------------------------------------------------------ 9 scoring
 
 
@@ -527,6 +560,40 @@ def test_near_copies(spark):
     assert neardup.classes(make(spark, texts).limit(0)).count() == 0
 
 
+def identified(spark, rows):
+    """Documents of (id, text) as given."""
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z", "w") for i, t in rows], SCHEMA)
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    rng = np.random.default_rng(21)
+    a, b, c, d = (prose(rng, 70) for _ in range(4))
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in neardup.deduplicated(identified(spark, rows)).collect()), key=str)
+    assert kept([(1, a), (5, b), (5, a), (9, c)]) == sorted([(1, a), (5, b), (9, c)], key=str)
+    assert kept([(None, a), (None, a), (3, a), (None, b), (None, b), (None, None), (None, None), (4, None), (7, d + " x"), (7, d)]) in (
+        sorted([(3, a), (None, b), (None, None), (None, None), (4, None), (7, d)], key=str),
+        sorted([(3, a), (None, b), (None, None), (None, None), (4, None), (7, d + " x")], key=str),
+    )
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(identified(spark, [(None, a), (3, a), (None, b), (None, None), (4, None)])).collect()), key=str)
+    assert got == sorted([(None, 3), (3, 3), (None, None), (None, None), (4, 4)], key=str)
+
+
+def test_components(spark):
+    from loamgrid.llm.components import components
+
+    rng = np.random.default_rng(22)
+    edges = [(i, i + 1) for i in range(0, 90)] + [(200, 200 + i) for i in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(300, 400, (70, 2))]
+    up = {x: x for e in edges for x in e}
+    for _ in up:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    assert set(got) == nodes
+    assert len({(got[x], up[x]) for x in nodes}) == len({got[x] for x in nodes}) == len({up[x] for x in nodes})
+    assert not components(spark.createDataFrame([], "a long, b long")).count()
+
+
 def test_similarity_by_brute_force():
     rng = np.random.default_rng(13)
     for _ in range(200):
