@@ -30,11 +30,15 @@ WINDOW = 1024
 SEPARATOR = 0
 #: Entries of a worker's cache of encoded words, and their longest. When full it makes
 #: way for a new one, which takes over what is still asked for.
-CACHE, LONGEST = 200_000, 48
+CACHE, LONGEST = 300_000, 48
 
 #: The white space of the vocabulary's pattern, and characters that
 #: some readers count as such.
 BLANK = " \t\n\v\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS, DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Words of characters whose kind is plain, and the parts of the pattern in them.
+PLAIN = re.compile(f"([{BLANK}]*)([!-~\xa1-\u024f\u2010-\u2027]+)")
+PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANK}{LETTERS}{DIGITS}]+")
 DOUBTFUL = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
 _encoders: dict[str, tuple] = {}
@@ -51,7 +55,8 @@ def encoder(path: str):
 
     No token of the pattern holds a blank after another character, so a text parts
     before each run of blanks, and such a run with the word behind it is encoded alike
-    wherever it stands; these pieces recur and are kept. A text that holds one of the
+    wherever it stands; these pieces recur and are kept, and so are the pattern's parts
+of a piece of plain characters. A text that holds one of the
     special tokens, or a character of doubtful kind, is encoded at once."""
     if path not in _encoders:
         from tokenizers import Tokenizer
@@ -66,6 +71,25 @@ def encoder(path: str):
     def ids(text: str) -> bytes:
         return array("H", own.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def fresh(word: str) -> bytes:
+        found = None if word[1:].isalpha() else PLAIN.fullmatch(word)
+        if not found:
+            return ids(word)
+        blank, ink = found.groups()
+        # the last of several blanks stands alone, or before the word if it is a space
+        parts = [x for x in ((blank[:-1], ink) if blank[-1:] == " " else (blank[:-1], blank[-1:], ink)) if x][:-1]
+        parts += PARTS.findall(" " * (blank[-1:] == " ") + ink)
+        if len(parts) == 1:
+            return ids(word)
+        new, old = known
+        out = []
+        for part in parts:
+            piece = new.get(part) or old.get(part)
+            if piece is None:
+                piece = new[part] = ids(part)
+            out.append(piece)
+        return b"".join(out)
+
     def encode(text: str) -> bytes:
         if special.search(text) or DOUBTFUL.search(text):
             return ids(text)
@@ -73,13 +97,12 @@ def encoder(path: str):
         out = list(map(known[0].get, words))
         if None in out:
             new, old = known
-            for i, piece in enumerate(out):
-                if piece is None:
-                    word = words[i]
-                    piece = new.get(word) or old.get(word) or ids(word)
-                    if len(word) <= LONGEST:
-                        new[word] = piece
-                    out[i] = piece
+            for i in [i for i, piece in enumerate(out) if piece is None]:
+                word = words[i]
+                piece = old.get(word) or new.get(word) or fresh(word)
+                if len(word) <= LONGEST:
+                    new[word] = piece
+                out[i] = piece
             if len(new) > CACHE:
                 known[:] = {}, new
         return b"".join(out)
