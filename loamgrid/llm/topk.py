@@ -7,14 +7,16 @@ digit is negative), added by carry-save bitmap arithmetic; the sums are slices
 too. The k best rows are then chosen from the most significant slice downward, and
 rows that tie at the boundary are resolved by id. Nothing is approximated.
 
-Queries meet rows in blocks: an index block is sent once to each block of queries,
-and each pair of blocks returns k rows per query.
+Queries meet rows in blocks: an index block is sent once to each block of queries, and
+a block of queries to each of SALTS parts of the index, so that no key grows with the
+table. A task keeps k rows per query.
 
 Defined results: vectors that are null or hold null or non-finite components, or
-have a null id, take no part, nor do components of 2**27 or more in size, whose
-sums might not fit; vectors of other lengths aren't compared; rows with the
-query's id are its own; repeated rows are candidates each; an empty table gives an
-empty table.
+have a null id, take no part; a slice's number of bits follows its block's largest
+component, whatever its size, and sums are exact; a score beyond a long is returned
+as the largest or least long, though ranked by its own size; vectors of other lengths aren't compared, empty ones
+score 0; rows with the query's id are its own; repeated rows are candidates each; an
+empty table gives an empty table. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +31,11 @@ SCALE = 256.0
 EVERY = 50
 #: Rows of an index block, and queries of a block of queries.
 ROWS, QUERIES = 8192, 1024
-LARGEST = 1 << 27
+#: Parts of the index that a block of queries is sent to, at most.
+SALTS = 64
+#: Components below it are held as 64-bit integers, larger ones as Python's.
+WIDE = 1 << 62
+LONG = (1 << 63) - 1
 
 
 def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
@@ -41,7 +47,7 @@ def slices(values: np.ndarray) -> tuple[np.ndarray, int]:
     words = -(-n // 64)
     out = np.zeros((2, dim, bits, words * 8), np.uint8)
     for j in range(bits):
-        packed = np.packbits(((raised >> j) & 1).astype(np.uint8), axis=1, bitorder="little")
+        packed = np.packbits(((raised >> j) & 1).astype(np.uint8).reshape(dim, n), axis=1, bitorder="little")
         out[0, :, j, : packed.shape[1]] = packed
     out[1] = ~out[0]
     return out.view(np.uint64), bits
@@ -153,15 +159,24 @@ def search(table: np.ndarray, bits: int, ids: np.ndarray, queries: np.ndarray, q
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     """Rows (id, dim, v) of the vectors that take part."""
     x = F.col("x")
-    double = F.transform("x", lambda e: F.floor(F.lit(scale) * e.cast("double")))
+    scaled = lambda e: F.lit(scale) * e.cast("double")
+    # from 2 ** 52 on doubles are whole, and floor's long might not hold them
+    double = F.transform("x", lambda e: F.when(F.abs(scaled(e)) < 2.0**52, F.floor(scaled(e)).cast("double")).otherwise(scaled(e)))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("x")).filter(x.isNotNull() & F.col("id").isNotNull())
-    fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double") * scale) < LARGEST))
-    return rows.filter(fine & (F.size("x") > 0)).select("id", F.size("x").alias("dim"), double.cast("array<long>").alias("v"))
+    fine = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")))
+    return rows.filter(fine).select("id", F.size("x").alias("dim"), double.alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Whole numbers, held as doubles, of vectors of dim components."""
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return np.ascontiguousarray(flat, np.int64).reshape(-1, dim)
+    return np.ascontiguousarray(flat, np.float64).reshape(len(column), dim)
+
+
+def integers(values: np.ndarray) -> np.ndarray:
+    if np.abs(values).max(initial=0) < WIDE:
+        return values.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in values.tolist()], object).reshape(values.shape)
 
 
 def top(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = SCALE) -> DataFrame:
@@ -172,14 +187,15 @@ def top(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector
     n_rows, n_asked = rows.count(), asked.count()
     row_blocks, query_blocks = max(1, -(-n_rows // ROWS)), max(1, -(-n_asked // QUERIES))
 
+    salts = min(SALTS, row_blocks)
+
     def index(table: pa.Table) -> pa.Table:
         dim, block = table["dim"][0].as_py(), table["block"][0].as_py()
-        values = _matrix(table["v"], dim)
         ids = table["id"].to_numpy().astype(np.int64)
-        out, bits = slices(values)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int64()), "bits": pa.array([bits], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "table": pa.array([out[0].tobytes()], pa.binary())})
+        out, bits = slices(integers(_matrix(table["v"], dim)))
+        return pa.table({"dim": pa.array([dim], pa.int32()), "salt": pa.array([block % salts], pa.int64()), "bits": pa.array([bits], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "table": pa.array([out[0].tobytes()], pa.binary())})
 
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(row_blocks))).groupBy("dim", "block").applyInArrow(index, "dim int, block long, bits int, ids binary, table binary")
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(row_blocks))).groupBy("dim", "block").applyInArrow(index, "dim int, salt long, bits int, ids binary, table binary")
 
     def gather(table: pa.Table) -> pa.Table:
         dim, block = table["dim"][0].as_py(), table["asked"][0].as_py()
@@ -187,24 +203,45 @@ def top(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector
         return pa.table({"dim": pa.array([dim], pa.int32()), "asked": pa.array([block], pa.int64()), "query_ids": pa.array([ids.tobytes()], pa.binary()), "queries": pa.array([values.tobytes()], pa.binary())})
 
     queries = asked.withColumn("asked", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(query_blocks))).groupBy("dim", "asked").applyInArrow(gather, "dim int, asked long, query_ids binary, queries binary")
-    pairs = blocks.withColumn("asked", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    pairs = pairs.join(queries, ["dim", "asked"])
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = blocks.withColumn("asked", every(query_blocks))
+    pairs = pairs.join(queries.withColumn("salt", every(salts)).hint("merge"), ["dim", "asked", "salt"])
 
     def run(batches):
+        best: dict[tuple, dict[int, list]] = {}  # by block of queries, sorted as the join leaves them
+
+        def told():
+            for (asked_block, dim), by_query in best.items():
+                lines = [(f"{asked_block}:{dim}:{i}", own, row, x) for i, (own, some) in by_query.items() for x, row in some]
+                key, own, found, scores = zip(*lines) if lines else ((), (), (), ())
+                # scores that a long can't tell apart are ranked by their digits
+                order = [None if -LONG - 1 < x < LONG else f"{x + 10**99:0100d}" for x in scores]
+                columns = [pa.array(key, pa.string()), pa.array(own, pa.int64()), pa.array(found, pa.int64()), pa.array([max(-LONG - 1, min(LONG, x)) for x in scores], pa.int64()), pa.array(order, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "query_id", "vec_id", "score", "wide"])
+            best.clear()
+
         for batch in batches:
-            for row in batch.to_pylist():
-                dim, bits = row["dim"], row["bits"]
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                dim, bits, place = row["dim"], row["bits"], (row["asked"], row["dim"])
+                if place not in best:
+                    yield from told()
+                    best[place] = {}
                 ids = np.frombuffer(row["ids"], np.int64)
-                plain = np.frombuffer(row["table"], np.uint64).reshape(dim, bits, -1)
+                plain = np.frombuffer(row["table"], np.uint64).reshape(dim, bits, -(-len(ids) // 64))
                 table = np.stack([plain, ~plain])
                 asked_ids = np.frombuffer(row["query_ids"], np.int64)
-                values = np.frombuffer(row["queries"], np.int64).reshape(-1, dim)
-                at, found, scores = search(table, bits, ids, values, asked_ids, k)
-                key = [f"{row['asked']}:{dim}:{i}" for i in at]
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(asked_ids[np.array(at, np.int64)]), pa.array(found, pa.int64()), pa.array(scores, pa.int64())], names=["key", "query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "key string, query_id long, vec_id long, score long")
-    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("score").desc(), "vec_id")))
+                values = integers(np.frombuffer(row["queries"], np.float64).reshape(len(asked_ids), dim))
+                by_query: dict[int, list] = {}
+                for i, found, score in zip(*search(table, bits, ids, values, asked_ids, k)):
+                    by_query.setdefault(i, []).append((score, found))
+                for i, some in by_query.items():
+                    _, before = best[place].get(i, (0, []))
+                    best[place][i] = int(asked_ids[i]), sorted(before + some, key=lambda x: (-x[0], x[1]))[:k]
+        yield from told()
+
+    found = pairs.mapInArrow(run, "key string, query_id long, vec_id long, score long, wide string")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.col("score").desc(), F.col("wide").desc(), "vec_id")))
     return best.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -106,16 +106,69 @@ def test_grammar():
     assert g.score("you idiot") > 0.3 > g.score("not an idiot") > g.score("a day")
 
 
-def test_composition_matches_parts():
-    rng = np.random.default_rng(5)
-    for _ in range(300):
-        word = rng.integers(0, toxicity.END, 8).tolist()
-        state, parts = 0, [0] * len(toxicity.PARTS)
-        for s in word:
-            state = toxicity.NEXT[state][s]
-            parts = [p.step(x, s) for p, x in zip(toxicity.PARTS, parts)]
-        found = toxicity.ENDS[state]
-        assert (found >= 0) == (parts[1] == 3 or parts[0] == 1)
+def read_by_hand(symbols):
+    """Matches of a string of symbols, each read from the whole string again."""
+    t = toxicity
+    n, out = len(symbols), []
+    words = (t.OTHER, t.INSULT, t.THREAT, t.WILL, t.TARGET, t.REPORT, t.NEGATION)
+    ends = [i for i, s in enumerate(symbols) if s in (t.END, t.BREAK)]
+
+    def clause(i):
+        first = max([e + 1 for e in ends if e < i], default=0)
+        return first, min([e for e in ends if e >= i], default=n)
+
+    def negated(i):
+        back = [k for k in range(clause(i)[0], i) if symbols[k] in words][-t.SCOPE :]
+        return any(symbols[k] == t.NEGATION for k in back)
+
+    def reported(i):
+        state = 0
+        for s in symbols[:i]:
+            if s == t.REPORT:
+                state = state or 1
+            elif s == t.MARK:
+                state = {0: 0, 1: 2, 2: 0}[state]
+            elif s == t.BREAK or (s == t.END and state == 1):
+                state = 0
+        return state > 0
+
+    for i, s in enumerate(symbols):
+        first, last = clause(i)
+        if s == t.INSULT:
+            if reported(i):
+                out.append(t.REPORTED)
+            elif negated(i):
+                out.append(t.NEGATED)
+            else:
+                out.append(t.AIMED if t.TARGET in symbols[first:last] else t.PLAIN)
+        elif s == t.TARGET:
+            verbs = [k for k in range(first, i) if symbols[k] == t.THREAT and t.WILL in symbols[first:k] and t.TARGET not in symbols[k:i]]
+            if verbs:
+                out.append(t.REPORTED if reported(verbs[-1]) else t.NEGATED if negated(verbs[-1]) else t.THREATENED)
+    return sorted(out)
+
+
+def test_grammar_by_hand():
+    import itertools
+
+    t, rng = toxicity, np.random.default_rng(5)
+    some = [list(w) for n in range(5) for w in itertools.product(range(t.SYMBOLS), repeat=n)]
+    some += [rng.integers(0, t.SYMBOLS, int(rng.integers(5, 16))).tolist() for _ in range(5000)]
+    for word in some:
+        # insults weigh 1, so that what is held and released at once adds up
+        got = sorted(k for kind, w in t.read([(x, float(x == t.INSULT)) for x in word]) for k in [kind] * max(1, round(w)))
+        assert got == read_by_hand(word), word
+
+
+def test_grammar_keeps_reports_and_scopes():
+    g = toxicity.Grammar({"idiot": 3.0, "scum": 3.0}, toxicity.PRIOR)
+    kinds = lambda s: sorted(toxicity.KINDS[k] for k, _ in g.clauses(toxicity.fold(s)))
+    assert kinds('he said: "you are an idiot"') == ["reported"]
+    assert kinds('she said "no. you idiot" but you are scum') == ["aimed", "reported"]
+    assert kinds('you are not "a total idiot"') == ["negated"]
+    assert kinds("you idiot, i am not scum") == ["aimed", "negated"]
+    assert kinds("you said i will kill you") == ["reported"] and kinds("i will not kill you") == ["negated"]
+    assert kinds("i will kill you") == ["threat"] and g.score("i will kill you") >= 0.3 > g.score("i will not kill you")
 
 
 def test_toxicity(spark, texts):
@@ -246,6 +299,20 @@ def test_topk(spark):
     assert topk.top(df.limit(0), lambda c: c % 50 == 0).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(41)
+    v = rng.normal(0, 1, (120, 3)) * 10.0 ** rng.integers(0, 9, (120, 3))
+    v[7], v[8] = [1e30, -1e30, 0.5], [-3e20, 1, 1]
+    rows = [(i, [float(np.float32(x)) for x in r], 1) for i, r in enumerate(v)] + [(500, [], 1), (550, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    whole = {i: [math.floor(256 * x) for x in r] for i, r, _ in rows}
+    want = set()
+    for i in (0, 50, 100, 500, 550):
+        s = sorted((-sum(a * b for a, b in zip(whole[i], x)), k) for k, x in whole.items() if k != i and len(x) == len(whole[i]))[:5]
+        want |= {(i, n + 1, k, max(-(2**63), min(2**63 - 1, -x))) for n, (x, k) in enumerate(s)}
+    assert {tuple(r) for r in topk.top(df, lambda c: c % 50 == 0).collect()} == want
+
+
 def test_digits():
     for v in range(-300, 300):
         d = topk.digits(v)
