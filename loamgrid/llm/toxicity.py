@@ -1,21 +1,28 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A word transducer rewrites a text to symbols: insult (with a weight), threat
-verb, will, target, negation, report, clause end, other. Five small transducers
-read the symbols: insult, threat, target, negation and reported speech. Their
-composition (a product automaton, built once) reads each clause and, at its end,
-says what was matched: a threat, or an insult that is aimed at a target, plain,
-negated or reported. A document's score is a logistic function of the weights of
-its matched clauses by kind, so a word counts only through its clause.
+A cascade of transducers reads a text. The first rewrites words and marks to symbols,
+with a weight for an insult. The negation transducer rewrites insults and threat verbs
+within the scope of a negation (the next SCOPE words; marks don't count), the one of
+reported speech those in a report: from a word of saying to the end of its clause, and
+on over colons to the end of a quotation that it opens. Two transducers read what is
+left and put out matches, with the weights held on the way: an insult that meets a
+target in its clause before or after it (aimed), or none (plain), a negated and a
+reported one; and a will, a threat verb and a target (threat, or negated or reported
+likewise). A clause may match several times. The cascade is composed once into one
+table of arcs with their outputs. A document's score is a logistic function of the
+weights of its matches by kind, so a word counts only through its clause.
 
 The insult lexicon is learned from labelled rows: words and word stems that occur
 in toxic rows and in no or hardly any clean ones, chosen greedily until the toxic
-rows are explained. The logistic weights are fitted to the same rows, from a
-prior under which negation and report take most of an insult's weight away.
+rows are explained, and words that stand in toxic rows only, so often that by chance
+hardly one word would; each needs SUPPORT rows or more, so SAMPLE bounds the lexicon.
+The logistic weights are fitted to the same rows, from a prior under which negation
+and report take most of an insult's weight away.
 
 Defined results: null and empty texts match nothing and get the score of no
 match; without labels the seed lexicon and the prior weights hold; repeated rows
-are scored each; an empty table gives an empty table.
+are scored each; an empty table gives an empty table; a kept column named score is
+left out; a text is held whole while it is read.
 """
 
 from __future__ import annotations
@@ -33,17 +40,21 @@ from .common import crc_rest, spans, utf8
 from .labelled import sample
 
 THRESHOLD = 0.3
-#: Most labelled documents that learning uses, and most units of the lexicon.
+#: Most labelled documents that learning uses.
 SAMPLE = 16000
-LEXICON = 2048
 #: A unit is a whole word or a stem of so many letters.
 STEMS = (4, 5, 6)
 #: Toxic documents that a unit must explain beyond those explained so far, and its
 #: least share of toxic ones among all documents with it.
 SUPPORT, PURITY = 4, 0.9
-WORD_LIMIT = 64
+CHANCE = 0.05
+#: Words after a negation that it negates.
+SCOPE = 3
 
-OTHER, INSULT, THREAT, WILL, TARGET, NEGATION, REPORT, END = range(8)
+#: Symbols of a text, MARK for a quotation mark, END for the end of a clause, BREAK for a
+#: line's; then those that negation and report put in place of insults and threat verbs.
+OTHER, INSULT, THREAT, WILL, TARGET, NEGATION, REPORT, MARK, END, BREAK, NO_INSULT, NO_THREAT, SAID_INSULT, SAID_THREAT = range(14)
+SYMBOLS = BREAK + 1
 
 # Seed words of the grammar.
 SEED_INSULTS = ("idiot", "idiots", "moron", "morons", "scum", "imbecile", "cretin", "bastard", "dumbass", "asshole")
@@ -56,71 +67,103 @@ TARGETS = (
 NEGATIONS = ("not", "never", "no", "nobody", "isnt", "arent", "wasnt", "dont", "nicht", "kein", "keine", "nie", "niemals", "pas", "jamais", "aucun", "nunca", "ningún", "tampoco")
 REPORTS = ("said", "says", "called", "quoted", "wrote", "claimed", "reported", "sagte", "schrieb", "nannte", "meinte", "dit", "écrit", "déclaré", "appelé", "dijo", "llamó", "escribió")
 
-TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n\"“”„«»]")
+TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n\"“”„«»]")
 WORDS = re.compile(r"[^\W\d_]+")
 
 KINDS = ("aimed", "plain", "negated", "reported", "threat")
+AIMED, PLAIN, NEGATED, REPORTED, THREATENED = range(5)
+#: An output that keeps a word's weight until a release.
+HOLD = -1
 #: Prior means of the logistic weights: bias, then one per kind.
-PRIOR = np.array([-4.0, 3.0, 2.5, 0.3, 0.3, 4.0])
+PRIOR = np.array([-4.0, 3.0, 2.5, 0.3, 0.3, 6.0])
 PRIOR_PRECISION = np.array([0.05, 0.3, 0.3, 0.3, 0.3, 0.3])
 
 
 class Transducer:
-    """states and arcs (state, symbol) -> state; symbols without an arc follow
-    the state's failure arc: to `rest`, or nowhere if it has none."""
-
-    def __init__(self, states: int, arcs: dict, rest: dict | None = None):
-        self.states, self.arcs, self.rest = states, arcs, rest or {}
-
-    def step(self, state: int, symbol: int) -> int:
-        if symbol == END:
-            return 0
-        return self.arcs.get((state, symbol), self.rest.get(state, state))
-
-
-# 0: nothing yet, 1: an insult was read
-INSULTS = Transducer(2, {(0, INSULT): 1})
-# 0; 1: will; 2: will and threat verb; 3: these and a target after them
-THREATENING = Transducer(4, {(0, WILL): 1, (1, THREAT): 2, (2, TARGET): 3})
-# 0; 1: a target was read
-TARGETS_READ = Transducer(2, {(0, TARGET): 1})
-# 0; 1 to 3: so many words are left in the scope of a negation; 4: an insult stood in the scope
-NEGATED = Transducer(5, {**{(s, NEGATION): 3 for s in range(4)}, **{(s, INSULT): 4 for s in (1, 2, 3)}}, {1: 0, 2: 1, 3: 2})
-# 0; 1: a report opened; 2: an insult in it
-REPORTED = Transducer(3, {(0, REPORT): 1, (1, INSULT): 2})
-PARTS = (INSULTS, THREATENING, TARGETS_READ, NEGATED, REPORTED)
-
-
-def compose(parts) -> tuple[list[list[int]], list[int]]:
-    """The product automaton: next state by state and symbol, and the kind of
-    clause that ending in a state matches (-1: none)."""
-    number, todo, table = {(0,) * len(parts): 0}, [(0,) * len(parts)], []
+    """arcs: (state, symbol) -> (state, output); where a symbol has no arc the state
+    and, from a rewriting transducer, the symbol stay."""
+
+    def __init__(self, arcs: dict):
+        self.arcs = arcs
+
+    def step(self, state: int, symbol: int, otherwise) -> tuple:
+        return self.arcs.get((state, symbol), (state, otherwise))
+
+
+WORD_SYMBOLS = (OTHER, INSULT, THREAT, WILL, TARGET, REPORT)
+#: States: words left in the scope.
+NEGATES = Transducer(
+    {(s, x): (s - 1, {INSULT: NO_INSULT, THREAT: NO_THREAT}.get(x, x)) for s in range(1, SCOPE + 1) for x in WORD_SYMBOLS}
+    | {(s, NEGATION): (SCOPE, OTHER) for s in range(SCOPE + 1)}
+    | {(s, x): (0, x) for s in range(SCOPE + 1) for x in (END, BREAK)}
+)
+#: 0; 1: in a report; 2: in a quotation that the report opened, which goes on over clauses.
+SAYS = Transducer(
+    {(s, x): (s, SAID_INSULT if x in (INSULT, NO_INSULT) else SAID_THREAT) for s in (1, 2) for x in (INSULT, NO_INSULT, THREAT, NO_THREAT)}
+    | {(0, REPORT): (1, OTHER), (1, MARK): (2, OTHER), (2, MARK): (0, OTHER), (1, END): (0, END), (1, BREAK): (0, BREAK), (2, BREAK): (0, BREAK)}
+)
+#: 0; 1: a target was read; 2: an insult is held. Outputs: (kind, release).
+INSULTS = Transducer(
+    {(0, INSULT): (2, (HOLD, False)), (2, INSULT): (2, (HOLD, False)), (1, INSULT): (1, (AIMED, False)), (0, TARGET): (1, None), (2, TARGET): (1, (AIMED, True))}
+    | {(s, NO_INSULT): (s, (NEGATED, False)) for s in range(3)}
+    | {(s, SAID_INSULT): (s, (REPORTED, False)) for s in range(3)}
+    | {(s, x): (0, (PLAIN, True) if s == 2 else None) for s in range(3) for x in (END, BREAK)}
+)
+#: 0; 1: a will was read; 2, 3, 4: and a threat verb, a negated one, a reported one.
+THREATENS = Transducer(
+    {(0, WILL): (1, None)}
+    | {(s, x): (to, None) for s in range(1, 5) for x, to in ((THREAT, 2), (NO_THREAT, 3), (SAID_THREAT, 4))}
+    | {(s, TARGET): (1, (kind, False)) for s, kind in ((2, THREATENED), (3, NEGATED), (4, REPORTED))}
+    | {(s, x): (0, None) for s in range(5) for x in (END, BREAK)}
+)
+
+
+def cascade(states: tuple, symbol: int) -> tuple[tuple, tuple]:
+    """States of NEGATES, SAYS, INSULTS and THREATENS after a symbol, and the outputs."""
+    negates, said, insult, threat = states
+    negates, symbol = NEGATES.step(negates, symbol, symbol)
+    said, symbol = SAYS.step(said, symbol, symbol)
+    insult, a = INSULTS.step(insult, symbol, None)
+    threat, b = THREATENS.step(threat, symbol, None)
+    return (negates, said, insult, threat), tuple(x for x in (a, b) if x)
+
+
+def compose() -> tuple[list[list[int]], list[list[tuple]]]:
+    """The composition: next state and outputs by state and symbol."""
+    number, todo, table, outputs = {(0, 0, 0, 0): 0}, [(0, 0, 0, 0)], [], []
     for states in todo:
-        row = []
-        for symbol in range(END + 1):
-            after = tuple(p.step(s, symbol) for p, s in zip(parts, states))
+        row, out = [], []
+        for symbol in range(SYMBOLS):
+            after, told = cascade(states, symbol)
             if after not in number:
                 number[after] = len(number)
                 todo.append(after)
             row.append(number[after])
+            out.append(told)
         table.append(row)
-    ends = []
-    for insult, threat, target, negated, reported in todo:
-        if threat == 3:
-            kind = 4
-        elif not insult:
-            kind = -1
-        elif reported == 2:
-            kind = 3
-        elif negated == 4:
-            kind = 2
-        else:
-            kind = 0 if target else 1
-        ends.append(kind)
-    return table, ends
-
-
-NEXT, ENDS = compose(PARTS)
+        outputs.append(out)
+    return table, outputs
+
+
+NEXT, OUTPUTS = compose()
+
+
+def read(symbols: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """(kind, weight) of the matches in weighted symbols, a line's end put behind them."""
+    out, state, held = [], 0, 0.0
+    table, outputs = NEXT, OUTPUTS
+    for symbol, weight in [*symbols, (BREAK, 0.0)]:
+        if told := outputs[state][symbol]:
+            for kind, release in told:
+                if kind == HOLD:
+                    held += weight
+                elif release:
+                    out.append((kind, held))
+                    held = 0.0
+                else:
+                    out.append((kind, weight))
+        state = table[state][symbol]
+    return out
 
 
 class Grammar:
@@ -146,7 +189,7 @@ class Grammar:
 
     def _symbol(self, word: str) -> tuple[int, float]:
         if not (word[0].isalpha()):
-            return (END, 0.0) if word in ".!?;:\n" else (OTHER, 0.0)
+            return (BREAK if word == "\n" else END if word in ".!?;" else MARK), 0.0
         weight = self.insults.get(word)
         if weight is None:
             for n in self.stems:
@@ -157,24 +200,11 @@ class Grammar:
         return self.symbols.get(word, (OTHER, 0.0))
 
     def clauses(self, text: str) -> list[tuple[int, float]]:
-        """(kind, weight) of the clauses of a lower-case text that match."""
-        out, state, weight = [], 0, 0.0
-        symbol, table = self.symbol, NEXT
-        for word in TOKEN.findall(text):
-            kind, more = symbol(word)
-            if kind == END:
-                if state and ENDS[state] >= 0:
-                    out.append((ENDS[state], weight))
-                state, weight = 0, 0.0
-            else:
-                weight += more
-                state = table[state][kind]
-        if ENDS[state] >= 0:
-            out.append((ENDS[state], weight))
-        return out
+        """(kind, weight) of the matches in a lower-case text."""
+        return read([self.symbol(word) for word in TOKEN.findall(text)])
 
     def matches(self, text: str) -> np.ndarray:
-        """Per kind, log(1 + sum of the weights of the clauses that match)."""
+        """Per kind, log(1 + sum of the weights of the matches)."""
         out = np.zeros(len(KINDS))
         text = fold(text)
         # only a word of weight or a threat verb can make a clause match
@@ -198,7 +228,7 @@ def fold(text: str) -> str:
 
 def units(text: str) -> set[str]:
     """The words and stems that a text holds."""
-    found = {w for w in WORDS.findall(fold(text)) if len(w) <= WORD_LIMIT}
+    found = set(WORDS.findall(fold(text)))
     return found | {w[:n] + "*" for w in found for n in STEMS if len(w) > n}
 
 
@@ -227,9 +257,10 @@ def _clean_counts(wanted: frozenset):
     return run
 
 
-def choose(candidates: dict[str, tuple[int, int]], toxic_rows: list[set[str]]) -> dict[str, float]:
+def choose(candidates: dict[str, tuple[int, int]], toxic_rows: list[set[str]], share: float = 0.5, looked_at: int = 1) -> dict[str, float]:
     """Units with weights, chosen greedily: the one that explains most of the toxic
-    rows not yet explained, of equals the longest; until none explains SUPPORT."""
+    rows not yet explained, of equals the longest; until none explains SUPPORT. share:
+    of toxic rows among all; looked_at: number of units."""
     holders: dict[str, set[int]] = {u: set() for u in candidates}
     for i, row in enumerate(toxic_rows):
         for u in row:
@@ -243,7 +274,7 @@ def choose(candidates: dict[str, tuple[int, int]], toxic_rows: list[set[str]]) -
         return gain - 3 * candidates[u][1], len(u) if gain else 0, u
 
     order = sorted(holders, key=lambda u: len(holders[u]), reverse=True)
-    while left and len(out) < LEXICON:
+    while left:
         best = None
         for u in order:
             if len(holders[u]) < (best[0] if best else SUPPORT):
@@ -257,18 +288,23 @@ def choose(candidates: dict[str, tuple[int, int]], toxic_rows: list[set[str]]) -
         out[unit] = float(np.log((toxic + 0.5) / (clean + 0.5)))
         left -= holders[unit]
         order = [u for u in order if u != unit and len(holders[u] & left) >= SUPPORT]
-    # words of rows already explained, where they are as pure and well supported
-    for u, (toxic, clean) in candidates.items():
-        if u not in out and clean == 0 and toxic >= 5 * SUPPORT and not u.endswith("*") and not any(u.startswith(x[:-1]) for x in out if x.endswith("*")):
-            if _spread(holders[u], toxic_rows):
-                out[u] = float(np.log((toxic + 0.5) / 0.5))
+    # units of rows already explained too, if fewer than CHANCE units would stand in so
+    # many toxic rows and no clean one were they dealt at random; the shortest first
+    enough = max(SUPPORT, np.log(max(looked_at, 1) / CHANCE) / -np.log(min(max(share, 1e-6), 1 - 1e-6)))
+    stems = {u[:-1] for u in out if u.endswith("*")}
+    for u in sorted(candidates, key=lambda u: (not u.endswith("*"), len(u), u)):
+        toxic, clean = candidates[u]
+        if u not in out and clean == 0 and toxic >= enough and not any(u[:n] in stems for n in STEMS) and _spread(holders[u], toxic_rows):
+            out[u] = float(np.log((toxic + 0.5) / 0.5))
+            if u.endswith("*"):
+                stems.add(u[:-1])
     return out
 
 
 def _spread(rows: set[int], toxic_rows: list[set[str]], limit: float = 0.35) -> bool:
     """Whether the rows with a unit differ else, so that it isn't just a word of
     many near copies: the mean overlap of rows next to each other is low."""
-    some = sorted(rows)[:40]
+    some = sorted(rows)
     pairs = [(toxic_rows[a], toxic_rows[b]) for a, b in zip(some, some[1:])]
     shared = [len(a & b) / max(1, len(a | b)) for a, b in pairs]
     return bool(shared) and sum(shared) / len(shared) < limit
@@ -298,8 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, keep_id, label_col: str = "toxic",
 
     rows = stored(sample(docs, labels, label_col, keep_id, limit).select("text", "label"), "toxic-sample")
     toxic = rows.mapInArrow(_counts, "unit string, toxic long").groupBy("unit").agg(F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= SUPPORT)
-    # of at most limit documents; the best supported come first
-    top = {r.unit: int(r.toxic) for r in toxic.orderBy(F.col("toxic").desc(), "unit").limit(50 * LEXICON).collect()}
+    top = {r.unit: int(r.toxic) for r in toxic.orderBy(F.col("toxic").desc(), "unit").collect()}  # of at most limit documents
     clean = {r.unit: int(r.clean) for r in rows.mapInArrow(_clean_counts(frozenset(top)), "unit string, clean long").groupBy("unit").agg(F.sum("clean").alias("clean")).collect()}
     candidates = {u: (n, clean.get(u, 0)) for u, n in top.items() if n / (n + clean.get(u, 0)) >= PURITY}
     wanted = frozenset(candidates)
@@ -310,7 +345,8 @@ def train(docs: DataFrame, labels: DataFrame, keep_id, label_col: str = "toxic",
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["units"])
 
     toxic_rows = [set(r.units) for r in rows.filter("label > 0").orderBy(F.xxhash64("text")).mapInArrow(held, "units array<string>").collect()] if wanted else []
-    insults = {u: 3.0 for u in SEED_INSULTS if clean.get(u, 0) == 0} | choose(candidates, toxic_rows)
+    share = len(toxic_rows) / max(rows.count(), 1)
+    insults = {u: 3.0 for u in SEED_INSULTS if clean.get(u, 0) == 0} | choose(candidates, toxic_rows, share, len(top))
     grammar = Grammar(insults, PRIOR)
 
     def figures(batches):
@@ -328,8 +364,9 @@ def train(docs: DataFrame, labels: DataFrame, keep_id, label_col: str = "toxic",
 
 def scored(docs: DataFrame, grammar: Grammar, keep: list[str], text_col: str = "text") -> DataFrame:
     """Kept columns and score, one row per row of docs."""
-    rows = docs.select(*keep, F.col(f"`{text_col}`").alias("scored_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # LEXICON units at most
+    keep = [c for c in keep if c != "score"]
+    rows = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").alias("scored_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # a lexicon learned from SAMPLE documents at most
 
     def run(batches):
         grammar = shared.value
@@ -340,8 +377,8 @@ def scored(docs: DataFrame, grammar: Grammar, keep: list[str], text_col: str = "
                 out[a:b] = [grammar.score(t or "") for t in text.slice(a, b - a).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*keep, "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, score double")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kept}score double")
 
 
 def held_in(id_col):
