@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark) -> None:
-    """Checkpoints go to the folder of the session; a temporary one where none is set."""
+    """Checkpoints go to the folder of the session; to a temporary one where none is
+    set and the executors are threads of this machine."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loamgrid-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loamgrid-"))
 
 
 def labelled(mask: DataFrame, width: int, rounds: int = 200) -> DataFrame:

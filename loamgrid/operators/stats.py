@@ -4,22 +4,38 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import ensure_checkpoints
+
+
+def running(df: DataFrame, amount: Column, order: list, *by: str) -> DataFrame:
+    """Adds before: the sum of amounts of the rows that stand before a row in order, per
+    group. Rows are dealt by ranges of (by, order); each range is summed on its own and
+    starts from the totals of those before it, so no task sorts a whole group."""
+    ensure_checkpoints(df.sparkSession)
+    dealt = df.withColumn("amount", amount).repartitionByRange(*by, *order).withColumn("part", F.spark_partition_id()).checkpoint()
+    inner = Window.partitionBy("part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    # a row per range and group
+    base = dealt.groupBy("part", *by).agg(F.sum("amount").alias("amount")).select("part", *by, F.coalesce(F.sum("amount").over(outer), zero).alias("base"))
+    summed = dealt.withColumn("inner", F.coalesce(F.sum("amount").over(inner), zero))
+    on = summed["part"] == base["part"]
+    for c in by:
+        on &= summed[c].eqNullSafe(base[c])
+    return summed.join(base.select("part", "base", *by), on).select(*[summed[c] for c in df.columns], (F.col("inner") + F.col("base")).alias("before"))
+
 
 def value_ranks(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Mid-ranks of values, per group: rows (by, value, ties, rank). Ranks are told
-    from the counts of distinct values; these are summed in value ranges first, so
-    that no task sorts a whole group's rows."""
+    from the counts of distinct values, summed in value ranges."""
     n = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    below = F.coalesce(F.sum("ties").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.withColumn("rank", below + (F.col("ties") + 1) / 2)
+    return running(n, F.col("ties"), [value], *by).withColumn("rank", F.col("before") + (F.col("ties") + 1) / 2).drop("before")
 
 
 def auc(df: DataFrame, score: str, positive: str, *by: str) -> DataFrame:
@@ -100,9 +116,8 @@ def percentile_rank(scores: DataFrame, reference: DataFrame, score: str) -> Data
     """Adds rank: 100 times the share of reference scores below each score."""
     both = scores.select(score, F.lit(0).alias("ref")).unionByName(reference.select(score, F.lit(1).alias("ref")))
     by_value = both.groupBy(score).agg(F.sum("ref").alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = reference.count()
-    ranks = by_value.select(score, (100.0 * below / total).alias("rank"))
+    ranks = running(by_value, F.col("n"), [score]).select(score, (100.0 * F.col("before") / total).alias("rank"))
     return scores.join(ranks, score)
 
 
@@ -151,30 +166,30 @@ def cross_validated(df: DataFrame, features: list[str], label: str, fold: str, n
 def permuted(df: DataFrame, column: str, key: str, deal: int = 0) -> DataFrame:
     """The column's values dealt anew among the rows, in order of a hash of the key
     and the number of the deal."""
-    place = df.withColumn("at", F.row_number().over(Window.orderBy(key)))
-    dealt = df.select(F.col(column).alias("dealt"), F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(deal)), key)).alias("at"))
+    place = running(df, F.lit(1), [F.col(key)]).withColumnRenamed("before", "at")
+    rows = df.select(F.col(column).alias("dealt"), F.xxhash64(key, F.lit(deal)).alias("draw"), F.col(key).alias("tie"))
+    dealt = running(rows, F.lit(1), [F.col("draw"), F.col("tie")]).select("dealt", F.col("before").alias("at"))
     return place.join(dealt, "at").withColumn(column, F.col("dealt")).drop("at", "dealt")
 
 
+def poisson(u: Column, most: int = 12) -> Column:
+    """A Poisson number of mean 1 from a uniform one: how many steps of the
+    distribution function lie at or below it."""
+    steps, total = [], 0.0
+    for k in range(most):
+        total += math.exp(-1) / math.factorial(k)
+        steps.append(total)
+    return sum((F.when(u >= t, 1).otherwise(0) for t in steps), F.lit(0))
+
+
 def bootstrap_auc(df: DataFrame, group: str, score: str, positive: str, times: int) -> DataFrame:
-    """AUC of weighted resamples: each group's row counts as often as a Poisson draw
-    says: (rep, auc). Histograms of scores by draw; at most 1,000 score levels."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        s, y = pdf[score].to_numpy(), pdf[positive].to_numpy().astype(bool)
-        order = np.argsort(s, kind="stable")
-        s, y = s[order], y[order]
-        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        for rep in pdf["rep"].unique():
-            w = np.random.default_rng(int(rep)).poisson(1, len(s))
-            pos, neg = np.add.reduceat(w * y, edge), np.add.reduceat(w * ~y, edge)
-            below = np.cumsum(neg) - neg
-            total = pos.sum() * neg.sum()
-            out.append((int(rep), float((pos * (below + neg / 2)).sum() / total) if total else None))
-        return pd.DataFrame(out, columns=["rep", "auc"])
-
-    if df.count() > 200_000:
-        raise ValueError("resamples are drawn over a table of villages, under 200,000 rows")
-    reps = df.select(score, positive, group).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    return reps.groupBy("rep").applyInPandas(run, "rep long, auc double")
+    """AUC of weighted resamples: each group's rows count as often as a Poisson draw
+    by resample and group says: (rep, auc), NULL where a class has no weight. Draws
+    are hashes, so reruns agree; counts are summed per resample and score first."""
+    reps = df.select(F.col(score).alias("s"), F.col(positive).alias("y"), F.col(group).alias("g")).filter("s IS NOT NULL").withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(times).cast("long"))))
+    u = (F.pmod(F.xxhash64("rep", "g"), F.lit(1 << 31)) + 0.5) / float(1 << 31)
+    levels = reps.withColumn("w", poisson(u)).groupBy("rep", "s").agg(F.sum(F.when(F.col("y"), F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y"), 0).otherwise(F.col("w"))).alias("neg"))
+    lower = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    won = F.col("pos") * (F.coalesce(F.sum("neg").over(lower), F.lit(0)) + F.col("neg") / 2)
+    sums = levels.withColumn("won", won).groupBy("rep").agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return sums.select("rep", (F.col("won") / F.nullif(F.col("p") * F.col("n"), F.lit(0))).alias("auc"))

@@ -75,12 +75,13 @@ def nn1_distance(spark, d):
 
 def self_nearest(spark, d):
     p = S.points(spark, d)
-    return spatial.within(p, p, 12000.0).filter("id <> oid").groupBy("id").agg(F.min("d2").alias("d2"))
+    return spatial.nearest(p, p, 500.0, own=False)
 
 
 @register("nn1_self", f"WITH {P} SELECT a.id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2 FROM places a JOIN places b ON a.id <> b.id GROUP BY a.id HAVING min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 144000000")
 def nn1_self(spark, d):
-    return self_nearest(spark, d).select("id", F.col("d2").cast("long").alias("d2"))
+    """Distance to the nearest other place, where it is 12 km at most."""
+    return self_nearest(spark, d).filter("d2 <= 144000000").select("id", F.col("d2").cast("long").alias("d2"))
 
 
 @register(

@@ -301,3 +301,25 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
     monkeypatch.setattr(stats, "bootstrap_auc", lambda *a: seen["resamples"].append(resample(*a).count()) or resample(*a))
     P.bootstrap_ci(spark, "")
     assert seen["resamples"] == [2000]
+
+
+def test_k_nearest_by_brute_force(spark):
+    rng = np.random.default_rng(51)
+    a = [(i, *map(float, rng.normal(0, 3, 2))) for i in range(60)]
+    b = [(i, *map(float, rng.normal(0, 1, 2))) for i in range(300)] + [(500, 40.0, 40.0)]
+    one, two = spark.createDataFrame(a, "id long, u double, v double"), spark.createDataFrame(b, "oid long, u double, v double")
+    want = set()
+    for i, u, v in a:
+        near = sorted(((u - x) * (u - x) + (v - y) * (v - y), o) for o, x, y in b)[:5]
+        want |= {(i, o, k + 1) for k, (_, o) in enumerate(near)}
+    got = {(r.id, r.oid, r["rank"]) for r in spatial.k_nearest(one, two, ["u", "v"], 5).collect()}
+    assert got == want
+    few = spatial.k_nearest(one, two.limit(2), ["u", "v"], 5)
+    assert few.count() == 120 and spatial.k_nearest(one, two.limit(0), ["u", "v"], 5).count() == 0
+
+
+def test_running_sums_by_brute_force(spark):
+    rng = np.random.default_rng(52)
+    rows = [(i, int(g), int(x)) for i, (g, x) in enumerate(zip(rng.integers(0, 3, 200) ** 3, rng.integers(0, 50, 200)))]
+    got = stats.running(spark.createDataFrame(rows, "i long, g long, x long"), F.col("x"), ["i"], "g").collect()
+    assert {(r.i, r.before) for r in got} == {(i, sum(y for j, h, y in rows if h == g and j < i)) for i, g, _ in rows}
