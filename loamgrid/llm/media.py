@@ -2,11 +2,16 @@
 
 A text's UTF-8 bytes are padded with spaces to a positive multiple of 192; each
 byte is one pixel (its green sample) of an image 192 pixels wide, wider by whole
-multiples where it would be too high. Lines that recur are back-references. Texts
-of at most 16 different bytes become palette images with several pixels to a byte.
+multiples where it would be too high. Each image is stored by what costs it least, told
+by the entropy of its samples: as they are, with lines that recur as back-references;
+less a predictor's guess (the pixel before, the one above, or what they suggest); or,
+with at most 16 different bytes, as a palette with several pixels to a byte. The reader
+reads all of the format, also what the writer doesn't choose.
 
 Defined results: null and empty texts are 192 spaces; equal texts give equal
-values; repeated rows give a row each; an empty table gives an empty table.
+values; repeated rows give a row each; an empty table gives an empty table; a text that
+no single image can hold becomes several, one after another; a kept column named like
+a result is left out; a batch's texts are held whole.
 """
 
 from __future__ import annotations
@@ -71,6 +76,35 @@ def repeats(data: bytes) -> list[tuple[int, int, int]]:
     return pieces
 
 
+#: Predictors that are tried, and the bits that one must save beside its header.
+MODES, SAVES = (1, 2, 7, 11), 512
+#: The predictor's block, as a power of 2: the largest of the format.
+PREDICTED = 9
+
+
+def _cost(samples: np.ndarray) -> float:
+    """Bits of samples by their entropy."""
+    counts = np.bincount(samples, minlength=256)
+    counts = counts[counts > 0]
+    return float((counts * (np.log2(len(samples)) - np.log2(counts))).sum())
+
+
+def guessed(samples: np.ndarray, width: int) -> int:
+    """The predictor that makes samples cheapest, -1 if none does. Told from the first
+    and middle rows of a large image: a choice of cost, never of what is stored."""
+    rows = samples.reshape(-1, width)
+    if len(rows) > 48:
+        rows = np.concatenate([rows[:24], rows[len(rows) // 2 :][:24]])
+    if len(rows) < 2:
+        return -1
+    here, left, top, corner = (x.astype(np.int16) for x in (rows[1:, 1:], rows[1:, :-1], rows[:-1, 1:], rows[:-1, :-1]))
+    nearer_left = np.abs(top - corner) < np.abs(left - corner)
+    guesses = {1: left, 2: top, 7: (left + top) >> 1, 11: np.where(nearer_left, left, top)}
+    costs = {m: _cost(((here - guesses[m]) & 255).ravel()) for m in MODES}
+    best = min(MODES, key=costs.__getitem__)
+    return best if costs[best] + SAVES < _cost(here.ravel() & 255) else -1
+
+
 def store(data: bytes) -> bytes:
     """The image file of a payload; several files one after another if one can't
     hold it."""
@@ -83,7 +117,12 @@ def store(data: bytes) -> bytes:
     present = np.flatnonzero(np.bincount(samples, minlength=256))
     if len(present) <= 16:
         return webp.encode(width, height, pixels, transforms=[("palette", (present.astype(np.uint32) << np.uint32(8)) | OPAQUE)])
-    return webp.encode(width, height, pixels, copies=repeats(data))
+    copies = repeats(data)
+    mode = -1 if copies else guessed(samples, width)
+    if mode < 0:
+        return webp.encode(width, height, pixels, copies=copies)
+    blocks = (-(-width >> PREDICTED)) * (-(-height >> PREDICTED))
+    return webp.encode(width, height, pixels, transforms=[("predictor", PREDICTED, np.full(blocks, mode))])
 
 
 def load(file: bytes) -> np.ndarray:
@@ -122,7 +161,9 @@ def described(text: bytes) -> tuple:
 
 def media(docs: DataFrame, keep: list[str], text_col: str = "text", with_file: bool = False) -> DataFrame:
     """Kept columns and FIELDS; with_file: also the stored form, as media."""
-    rows = docs.select(*keep, F.col(f"`{text_col}`").alias("media_text"))
+    results = [*[f.split()[0] for f in FIELDS.split(", ")], "media"]
+    keep = [c for c in keep if c not in results]
+    rows = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").alias("media_text"))
 
     def run(batches):
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -143,8 +184,8 @@ def media(docs: DataFrame, keep: list[str], text_col: str = "text", with_file: b
                 names.append("media")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, *names])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, {FIELDS}" + ", media binary" * with_file)
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kept}{FIELDS}" + ", media binary" * with_file)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ documents with a weight table of fixed size.
 Defined results: null and empty texts have no features and get the score of the
 bias alone; with one class only, or no labels, every score is the share of
 label 1 (0.5 without labels); repeated rows are scored each; an empty table
-gives an empty table.
+gives an empty table; a kept column named score is left out.
 """
 
 from __future__ import annotations
@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, keep_id, label_col: str = "quality
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Kept columns and score, one row per row of docs."""
-    rows = docs.select(*keep, F.col(text_col).alias("scored_text"))
+    keep = [c for c in keep if c != "score"]
+    rows = docs.select(*[f"`{c}`" for c in keep], F.col(f"`{text_col}`").alias("scored_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: two tables of DIM floats
 
     def run(batches):
@@ -172,8 +173,8 @@ def scored(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
                 out[a:b] = model.score([features(data[i:j], seen) for i, j in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*keep, "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, score double")
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{kept}score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ SHARDS = 40
 #: Buckets per shard: the packer gets SHARDS * PER_SHARD pooled items at most,
 #: and at most three times as many groups of their own.
 PER_SHARD = 256
-#: A group above this part of a shard is cut into chunks.
-WHOLE = 8
+#: A group above this part of a shard, or of more rows, is cut into chunks.
+WHOLE, CHUNK_ROWS = 8, 1 << 20
 
 
 def pack(items: np.ndarray, shards: int) -> np.ndarray:
@@ -77,7 +77,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, per_shard: int = PER_SHARD, id_
     groups = base.groupBy("h").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r"))
     part = F.greatest(*[F.col(c) / F.lit(float(n)) for c, n in dims.items()])
     # at most 3 * buckets groups can exceed 1 / buckets of some total
-    heavy = groups.filter(part * buckets > 1).withColumn("chunks", F.ceil(part * shards * WHOLE).cast("int"))
+    heavy = groups.filter(part * buckets > 1).withColumn("chunks", F.greatest(F.ceil(part * shards * WHOLE), F.ceil(F.col("r") / CHUNK_ROWS)).cast("int"))
     heavy = spark.createDataFrame(heavy.select("h", "chunks").orderBy("h").collect(), "h long, chunks int")
     salt = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.coalesce("chunks", F.lit(1)))
     item = F.when(F.col("chunks").isNull(), F.struct(F.pmod("h", F.lit(buckets)).alias("g"), F.lit(-1).cast("long").alias("c"))).otherwise(F.struct(F.col("h").alias("g"), salt.alias("c")))

@@ -264,6 +264,34 @@ def test_media(spark, texts):
     assert got[4][1:] == got[5][1:] and media.media(make(spark, texts).limit(0), ["doc_id"]).count() == 0
 
 
+def test_each_image_takes_what_costs_least():
+    ramp = bytes((32 + (i % 192 + i // 192 * 7) % 90) for i in range(192 * 40))
+    stripes = bytes(np.random.default_rng(61).integers(33, 120, 192).astype(np.uint8)) * 30
+    text = prose(np.random.default_rng(62), 2000).encode()
+    few = b"abcabcacb" * 200
+    found = {}
+    for name, raw in (("ramp", ramp), ("stripes", stripes), ("text", text), ("few", few)):
+        data = media.payload(raw)
+        file = media.store(data)
+        assert media.load(file).tobytes() == data
+        width, height = media.sides(len(data))
+        pixels = (np.frombuffer(data, np.uint8).astype(np.uint32) << 8) | media.OPAQUE
+        assert len(file) <= len(webp.encode(width, height, pixels)) + 8
+        found[name] = (bool(int.from_bytes(file[25:26], "little") & 1), int.from_bytes(file[25:26], "little") >> 1 & 3)
+    assert found["ramp"] == (True, webp.PREDICTOR) and found["stripes"] == (True, webp.PREDICTOR)
+    assert found["few"] == (True, webp.PALETTE) and not found["text"][0]
+
+
+def test_kept_columns_of_results_names_are_left_out(spark):
+    d = make(spark, ["a b", None, "x"]).withColumns({"feature": F.lit(1), "score": F.lit("s"), "base": F.lit(2), "at": F.lit(3)})
+    assert media.media(d, ["doc_id", "feature", "at"]).columns[:2] == ["doc_id", "at"]
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    model = quality.train(d, none, lambda c: crc_rest(c, 5) != 0)
+    assert quality.scored(d, model, ["doc_id", "score"]).columns == ["doc_id", "score"]
+    assert quality.scored(d.limit(0), model, ["doc_id"]).count() == 0
+    assert scoring.score(d, F.lit(True), ["doc_id", "score", "base", "at"]).columns[0] == "doc_id"
+
+
 def test_large_payloads():
     data = b"ab c" * (192 * 5000)  # too high for one column of rows
     w, h = media.sides(len(data))
