@@ -39,6 +39,12 @@ LETTERS, DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb
 #: Words of characters whose kind is plain, and the parts of the pattern in them.
 PLAIN = re.compile(f"([{BLANK}]*)([!-~\xa1-\u024f\u2010-\u2027]+)")
 PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANK}{LETTERS}{DIGITS}]+")
+#: Blanks that don't part one by one: three in a row, two at the end, rarer ones.
+ROUGH = re.compile(f"[ \\n]{{3}}|[ \\n]{{2}}\\Z|[{BLANK[1]}{BLANK[3:]}]")
+#: The vocabulary writes a byte as the character of that number, bytes that don't print
+#: as those from 256 on in order.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
 DOUBTFUL = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
 _encoders: dict[str, tuple] = {}
@@ -59,20 +65,30 @@ def encoder(path: str):
 of a piece of plain characters. A text that holds one of the
     special tokens, or a character of doubtful kind, is encoded at once."""
     if path not in _encoders:
+        import tiktoken
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
         assert own.get_vocab_size() <= 1 << 16 and sys.byteorder == "little"
         special = [t.content for t in own.get_added_tokens_decoder().values()]
         found = re.compile("|".join(map(re.escape, special))) if special else re.compile("(?!)")
-        _encoders[path] = own, [{}, {}], found, re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
-    own, known, special, pieces = _encoders[path]
+        byte = {chr(c): b for b, c in WRITTEN.items()} | {chr(b): b for b in PRINTED}
+        ranks = {bytes(byte[c] for c in name): i for name, i in own.get_vocab().items() if name not in special}
+        merges = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        _encoders[path] = own, merges, [{}, {}], found, re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
+    own, merges, known, special, pieces = _encoders[path]
 
     def ids(text: str) -> bytes:
         return array("H", own.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def part_ids(part: str) -> bytes:
+        """Of what the pattern leaves whole."""
+        return array("H", merges(part)).tobytes()
+
     def fresh(word: str) -> bytes:
-        found = None if word[1:].isalpha() else PLAIN.fullmatch(word)
+        if word.isascii() and word.strip(" ").isalpha() and word.count(" ") < 2:
+            return part_ids(word)
+        found = PLAIN.fullmatch(word)
         if not found:
             return ids(word)
         blank, ink = found.groups()
@@ -80,20 +96,23 @@ of a piece of plain characters. A text that holds one of the
         parts = [x for x in ((blank[:-1], ink) if blank[-1:] == " " else (blank[:-1], blank[-1:], ink)) if x][:-1]
         parts += PARTS.findall(" " * (blank[-1:] == " ") + ink)
         if len(parts) == 1:
-            return ids(word)
+            return part_ids(word)
         new, old = known
         out = []
         for part in parts:
             piece = new.get(part) or old.get(part)
             if piece is None:
-                piece = new[part] = ids(part)
+                piece = new[part] = part_ids(part)
             out.append(piece)
         return b"".join(out)
 
     def encode(text: str) -> bytes:
         if special.search(text) or DOUBTFUL.search(text):
             return ids(text)
-        words = pieces.findall(text)
+        if ROUGH.search(text):
+            words = pieces.findall(text)
+        else:  # the same pieces, but for a blank before another, which stands alone
+            words = text.replace(" ", "\x1f ").replace("\n", "\x1f\n").split("\x1f")
         out = list(map(known[0].get, words))
         if None in out:
             new, old = known

@@ -445,9 +445,13 @@ def test_encoder_agrees_with_the_vocabulary():
     tok, encode = Tokenizer.from_file(path), packing.encoder(path)
     rng = np.random.default_rng(31)
     signs = list("aZé日'.,!12 \t\n\r\x0b\x0c\x00\x1c\x85\xa0\u1680\u2003\u2028\u3000\u200b\ufeff") + ["'s", "'ll", "  ", "<|endoftext|>", " the", "\n\n"]
-    for _ in range(3000):
+    for _ in range(6000):
         text = "".join(rng.choice(signs, int(rng.integers(0, 12))))
         assert np.frombuffer(encode(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+    letters = list("etaoinshrdluäöüßéèçñ") + ["the", "ing", "tion", "sch", "'", "-", "7", "\n", " ", "…", "“"]
+    for _ in range(6000):  # words that the vocabulary has to merge
+        text = " ".join("".join(rng.choice(letters, int(rng.integers(1, 14)))) for _ in range(3))
+        assert np.frombuffer(encode(text), "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_packing_keeps_columns_of_any_name(spark):
