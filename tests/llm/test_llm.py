@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and odd inputs."""
 
+import functools
 import hashlib
 import math
 import re
@@ -559,21 +560,39 @@ def test_scoring(spark, texts):
             some.append(WORDS[at] if rng.random() < 0.95 else WORDS[at] + prose(rng, 1))
         more.append(" ".join(some))
     d = make(spark, more)
-    old = scoring.HOT
+    trained = crc_rest(F.col("doc_id"), 5) != 1
+    old = scoring.HOT, scoring.CONTEXTS, scoring.GATHER
     try:
-        scoring.HOT = 40  # most words are rare ones
-        got = {r.doc_id: r for r in scoring.score(d, crc_rest(F.col("doc_id"), 5) != 1).collect()}
+        scoring.HOT, scoring.CONTEXTS, scoring.GATHER = 40, 10, 3000  # most words and pairs are asked for, in several rows
+        got = {r.doc_id: r for r in scoring.score(d, trained).collect()}
+        model, _ = scoring.train(d.filter(trained).select("text"))
     finally:
-        scoring.HOT = old
+        scoring.HOT, scoring.CONTEXTS, scoring.GATHER = old
     split = {i: [*tokens(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for i, t in enumerate(more)}
-    count = Counter(w for i, ws in split.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in ws)
-    n, v = sum(count.values()), len(count)
+    count, follow = Counter(), Counter()
+    for i, ws in split.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            count.update(ws)
+            follow.update(zip([None, *ws], ws))
+    n, v, once = sum(count.values()), len(count), sum(c == 1 for c in count.values())
+
+    @functools.cache
+    def alone(w):  # probability in the empty context
+        share = (count[w] or once + 1) / (n + once + 1)
+        spelled = 0.0
+        if w is not None and count[w]:
+            data = np.frombuffer(w.encode(), np.uint8)
+            spelled = 10.0 ** model.automaton().read(automaton.stream(data, np.array([0, len(data)]))[0]).astype(float).sum()
+        return scoring.SHARES * share + (1 - scoring.SHARES) * spelled
+
     ours = base = 0.0
     for i, ws in split.items():
         r = got[i]
         want = sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(want, rel=1e-9) and r.score < 0
+        assert r.base_score == pytest.approx(want, rel=1e-9)
+        walked = sum(math.log10((follow[p, w] + scoring.PRIOR * alone(w)) / (count[p] + scoring.PRIOR)) for p, w in zip([None, *ws], ws))
+        assert r.score == pytest.approx(walked, rel=1e-5)
         if zlib.crc32(str(i).encode()) % 5 == 1:
             ours, base = ours + r.score, base + want
     assert len(got) == len(more) and ours > base
