@@ -561,13 +561,13 @@ def test_scoring(spark, texts):
         more.append(" ".join(some))
     d = make(spark, more)
     trained = crc_rest(F.col("doc_id"), 5) != 1
-    old = scoring.HOT, scoring.CONTEXTS, scoring.GATHER
+    old = scoring.HOT, scoring.CONTEXTS, scoring.GATHER, scoring.ASKED
     try:
-        scoring.HOT, scoring.CONTEXTS, scoring.GATHER = 40, 10, 3000  # most words and pairs are asked for, in several rows
+        scoring.HOT, scoring.CONTEXTS, scoring.GATHER, scoring.ASKED = 40, 10, 12000, 500  # most is asked for, in several rows
         got = {r.doc_id: r for r in scoring.score(d, trained).collect()}
         model, _ = scoring.train(d.filter(trained).select("text"))
     finally:
-        scoring.HOT, scoring.CONTEXTS, scoring.GATHER = old
+        scoring.HOT, scoring.CONTEXTS, scoring.GATHER, scoring.ASKED = old
     split = {i: [*tokens(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for i, t in enumerate(more)}
     count, follow = Counter(), Counter()
     for i, ws in split.items():
