@@ -563,7 +563,7 @@ def test_scoring(spark, texts):
     trained = crc_rest(F.col("doc_id"), 5) != 1
     old = scoring.HOT, scoring.CONTEXTS, scoring.GATHER, scoring.ASKED
     try:
-        scoring.HOT, scoring.CONTEXTS, scoring.GATHER, scoring.ASKED = 40, 10, 12000, 500  # most is asked for, in several rows
+        scoring.HOT, scoring.CONTEXTS, scoring.GATHER, scoring.ASKED = 40, 10, 24000, 500  # most is asked for, in several rows
         got = {r.doc_id: r for r in scoring.score(d, trained).collect()}
         model, _ = scoring.train(d.filter(trained).select("text"))
     finally:
