@@ -34,11 +34,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Rows of a batch that goes to Python. Rows hold whole texts or packed arrays, so that
+#: Spark's 10,000 would be tens of MB in the JVM and again in the worker, for each task.
+BATCH_ROWS = 1000
+
+
+def smaller_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS from now on in this session, unless it has a number of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df below the shared folder and reads it back: lineage ends there,
     so a lost executor costs only the tasks it was running. All tables of an
-    application stand in one folder, to be removed when it has ended."""
+    application stand in one folder, to be removed when it has ended. What it writes,
+    and all that follows in the session, is dealt to Python in smaller_batches."""
     spark = df.sparkSession
+    smaller_batches(spark)
     path = f"{scratch_dir(spark)}/loamgrid-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -48,6 +62,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint(), in the shared folder also where the session names none."""
+    smaller_batches(df.sparkSession)
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_dir(df.sparkSession))
