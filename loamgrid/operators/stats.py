@@ -91,8 +91,9 @@ def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 
 
 def draw(key: Column, seed: int = 12345) -> Column:
-    """A whole number from 0 to 2**31 - 1 by a congruence of a key: reruns agree."""
-    return F.pmod(key * 1103515245 + seed, F.lit(2147483648))
+    """A whole number from 0 to 2**31 - 1 by a congruence of a key: reruns agree. The key
+    is reduced first, so that no product overflows."""
+    return F.pmod(F.pmod(key.cast("long"), F.lit(2147483648)) * 1103515245 + seed, F.lit(2147483648))
 
 
 def folds(df: DataFrame, x: str, y: str, block: float, n: int, repeat: int = 0) -> DataFrame:
@@ -108,7 +109,7 @@ def background(sites: DataFrame, pool: DataFrame, value: str, edges: list[float]
     s = histogram(sites, value, edges).withColumnRenamed("n", "ns")
     p = histogram(pool, value, edges).withColumnRenamed("n", "np")
     w = p.join(s, "bin").select("bin", (F.col("ns") / F.col("np")).alias("w"))
-    u = (draw(F.col(key) * 48271 + 11) + 0.5) / 2147483648.0
+    u = (draw(F.pmod(F.col(key).cast("long"), F.lit(2147483648)) * 48271 + 11) + 0.5) / 2147483648.0
     return pool.withColumn("bin", bin_).join(F.broadcast(w), "bin").withColumn("draw", -F.log(u) / F.col("w")).orderBy("draw", key).limit(most)
 
 

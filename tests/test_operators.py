@@ -1,5 +1,7 @@
 """Operators on small synthetic inputs with hand values."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions import geometry as M
 from loamgrid.functions import text as X
 from loamgrid.operators import catalogue, components, distance, focal, publish, raster, relational, scenes, snap, spatial, stats
+from loamgrid.plans import catalog
 from loamgrid.sources import tables as S
 
 
@@ -339,3 +342,13 @@ def test_nearest_radius_follows_density(spark, monkeypatch):
     want = {i: min(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in b) for i, x, y in a}
     assert got == {i: (j, d) for i, (d, j) in want.items()}
     assert asked[0][0] == 50 and asked[0][1] <= 40000 / 400**0.5  # a place once, about three of b in reach
+
+
+def test_background_of_large_keys(spark):
+    rows = [(k, k % 3 == 0, float(k % 7)) for k in [*range(0, 40), *range(2**40, 2**40 + 40)]]
+    df = spark.createDataFrame(rows, "k long, site boolean, v double")
+    got = [r.k for r in stats.background(df.filter("site"), df.filter("NOT site"), "v", [3], "k", 10).collect()]
+    share = {b: sum(1 for _, s, v in rows if s and (v >= 3) == b) / sum(1 for _, s, v in rows if not s and (v >= 3) == b) for b in (False, True)}
+    key = lambda k: ((k * 48271 + 11) * 1103515245 + 12345) % 2**31
+    want = sorted((-math.log((key(k) + 0.5) / 2**31) / share[v >= 3], k) for k, s, v in rows if not s)[:10]
+    assert got == [k for _, k in want] and max(got) >= 2**40
