@@ -352,3 +352,28 @@ def test_background_of_large_keys(spark):
     key = lambda k: ((k * 48271 + 11) * 1103515245 + 12345) % 2**31
     want = sorted((-math.log((key(k) + 0.5) / 2**31) / share[v >= 3], k) for k, s, v in rows if not s)[:10]
     assert got == [k for _, k in want] and max(got) >= 2**40
+
+
+def test_resolve_cascade_answers_once(spark, tmp_path, monkeypatch):
+    held, plain = [], catalogue.resolve
+    monkeypatch.setattr(catalogue, "resolve", lambda e, c, *more: (held.append(c.count()), plain(e, c, *more))[1])
+    orders = [(10 * i, i % 40) for i in range(4000)] + [(3, 1)]
+    part = [(i, f"n{i % 9}", ("PROMO", "STANDARD", "ECONOMY")[i % 3], f"Brand#{i % 25 + 1}", i % 20) for i in range(1500)]
+    part += [(9000 + i, f"z{i}", "PROMO", f"Brand#{i + 1}", 3) for i in range(8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    df = catalog.queries()["resolve_cascade"](spark, str(tmp_path))
+    got = {r.entry: (r.place, r.how) for r in df.collect()}
+    names = sorted({p[1] for p in part})
+    assert len(got) == 4000
+    for key, cust in orders[:-1]:
+        i = cust % (len(names) + 3)
+        left, how = [p for p in part if i < len(names) and p[1] == names[i]], "not_found"
+        if left:
+            how = "unique" if len(left) == 1 else "ambiguous"
+            for name, ok in (("raion", lambda p: p[2] == "PROMO"), ("koatuu", lambda p: p[3] == f"Brand#{cust % 25 + 1}"), ("kind", lambda p: p[4] < 10)):
+                if how == "ambiguous":
+                    left = [p for p in left if ok(p)] or left
+                    how = name if len(left) == 1 else how
+        assert got[key] == (min((p[0] for p in left), default=None), how)
+    assert max(held) <= 10_000  # not a row for each entry and part of its name
