@@ -8,6 +8,10 @@ left for other bytes, to the state of the next shorter context. The arcs that a
 byte takes through failures are resolved when the tables are laid out, so that
 reading a text is one step per byte from left to right.
 
+Where not all contexts are kept, a byte is read exactly from the state of its whole
+context only; walk() tells the length of each state's context, and resolved() the
+probabilities of arcs beyond the tables, from all arcs of their contexts.
+
 The state after ORDER - 1 bytes doesn't depend on what stood before them. So a
 stream is read in many lanes at once, each begun ORDER - 1 bytes early.
 """
@@ -21,7 +25,9 @@ from .common import LOWER, SPACE
 ORDER = 6
 SYMBOLS = 257  # of the uniform distribution under the lowest order
 PART = 32
+NUL = 9  # stands for zero bytes, as zeros stand before a word's start; no word holds it
 LANES = 1024
+READ = np.where(np.arange(256) == 0, NUL, LOWER).astype(np.uint8)
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,16 +41,19 @@ def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     out = np.full(len(inked) + int(new.sum()), PART, np.uint8)
     # before an inked byte stand the inked ones and a space for each earlier word
     place = np.arange(len(inked)) + word - 1
-    out[place] = LOWER[data[inked]]
+    out[place] = READ[data[inked]]
     return out, place[new]
 
 
-def grams(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def since_start(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bytes of its word before each byte."""
+    return np.arange(len(text)) - np.repeat(starts, np.diff(starts, append=len(text)))
+
+
+def arcs_taken(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Numbers of the ORDER bytes that end at each byte (the highest are first;
-    zeros before a word's start but for the space just before it) and counts."""
-    if not len(text):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    since = np.arange(len(text)) - np.repeat(starts, np.diff(starts, append=len(text)))
+    zeros before a word's start but for the space just before it)."""
+    since = since_start(text, starts)
     code = np.zeros(len(text), np.uint64)
     for back in range(ORDER - 1, -1, -1):
         byte = np.zeros(len(text), np.uint64)
@@ -52,7 +61,12 @@ def grams(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         byte[since < back] = 0
         byte[since == back - 1] = PART
         code = (code << np.uint64(8)) | byte
-    return np.unique(code, return_counts=True)
+    return code
+
+
+def grams(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of arcs_taken, ascending, and their counts."""
+    return np.unique(arcs_taken(text, starts), return_counts=True)
 
 
 def merge(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +95,25 @@ def context_totals(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return merge([codes >> np.uint64(8)], [counts])
 
 
+def resolved(codes: np.ndarray, counts: np.ndarray, low: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of each arc (codes of ORDER bytes, ascending), as the automaton
+    of all contexts has it. The codes hold all arcs of their contexts of two bytes or more;
+    low has those of none and of one."""
+    byte = (codes & np.uint64(255)).astype(np.int64)
+    zero = np.bincount(low[0][0].astype(np.int64), weights=low[0][1], minlength=256)
+    total, kinds = zero.sum(), np.count_nonzero(zero)
+    p = (zero[byte] + kinds / SYMBOLS) / (total + kinds)
+    for length in range(1, ORDER):
+        arc, times = low[1] if length == 1 else shorter(codes, counts, length)
+        of, first, kinds = np.unique(arc >> np.uint64(8), return_index=True, return_counts=True)
+        total = np.add.reduceat(times, first) if len(first) else times
+        own = codes & np.uint64((1 << (8 * (length + 1))) - 1)
+        deep = np.flatnonzero((own >> np.uint64(8 * length)) > 0)  # others have no context so long
+        taken, at = times[np.searchsorted(arc, own[deep])], np.searchsorted(of, own[deep] >> np.uint64(8))
+        p[deep] = (taken + kinds[at] * p[deep]) / (total[at] + kinds[at])
+    return np.log10(p)
+
+
 class Automaton:
     """arcs: {length: (codes of context and byte, counts)} for the contexts kept;
     these must hold every shorter part of a context too."""
@@ -140,6 +173,7 @@ class Automaton:
         self.start = max(0, int(start[0]))
         if used[PART]:
             follow[:, self.column[PART]] = self.start
+        self.depth = np.repeat(np.array([0, *lengths], np.int8), [1, *[len(x) for x in names]])
         self.logp, self.follow, self.width = logp.reshape(-1), (follow.astype(np.int64) * width).astype(np.int32).reshape(-1), width
 
     @staticmethod
@@ -152,14 +186,19 @@ class Automaton:
 
     def read(self, text: np.ndarray) -> np.ndarray:
         """log10 probability of each byte of a stream, left to right."""
+        return self.walk(text)[0]
+
+    def walk(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each byte of a stream, left to right, and the length of
+        the context of the state that it is read from."""
         n, warm = len(text), ORDER - 1
         if not n:
-            return np.zeros(0, np.float32)
+            return np.zeros(0, np.float32), np.zeros(0, np.int8)
         steps = -(-n // LANES)
         lanes = -(-n // steps)
         padded = np.full(warm + lanes * steps, self.column[PART], np.int32)
         padded[warm : warm + n] = self.column[text]
-        out = np.empty((steps, lanes), np.float32)
+        out, depth = np.empty((steps, lanes), np.float32), np.empty((steps, lanes), np.int8)
         begin = np.arange(lanes) * steps
         state = np.full(lanes, self.start * self.width, np.int32)
         for i in range(warm):  # brings each lane to the state that it starts in
@@ -169,5 +208,6 @@ class Automaton:
         for i in range(steps):
             at = state + body[i]
             out[i] = self.logp[at]
+            depth[i] = self.depth[state // self.width]
             state = self.follow[at]
-        return out.T.reshape(-1)[:n]
+        return out.T.reshape(-1)[:n], depth.T.reshape(-1)[:n]

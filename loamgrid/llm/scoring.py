@@ -18,11 +18,17 @@ PRIOR), and, where the pair has an arc, log(1 + n(p, t) / (PRIOR P0(t))). The fi
 need the counts of words only, the third the count of the pair and P0(t); these can be
 added up in different places.
 
-Training passes over the text twice: words and the byte n-grams of the spellings,
-then pairs of context words. All are counted per task in numpy, dealt by hash in
-packed arrays and summed. The most frequent words (HOT at most), the arcs between
-the CONTEXTS most frequent and the spellings (STATES at most) are small enough for
-every task. Everything else stays dealt by hash, and documents ask there: the counts of
+Training passes over the text twice: words, then pairs of context words. All are
+counted per task in numpy, dealt by hash in packed arrays and summed. Each word is spelled
+once, whatever its count: the bytes that follow each other in the words, times their
+counts, are the arcs of the spelling automaton, whose states are all contexts of bytes.
+The states of the most frequent contexts (STATES at most) are laid out as tables, by which
+all words are read; a byte whose whole context has no state there asks for its arc among
+all of them, which stay dealt by hash.
+
+The most frequent words (HOT at most) and the arcs between the CONTEXTS most frequent
+are small enough for every task. Everything else stays dealt by hash, and documents ask
+there: the counts and spellings of
 other words are one table; the other pairs of training documents are counted from what
 the documents ask, since each asks for all of its pairs. A pair goes to the part of its
 second word where that isn't among HOT, so that it meets that word's count, else to
@@ -46,10 +52,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import ORDER, Automaton, context_totals, grams, merge, shorter, stream
+from .automaton import ORDER, PART, Automaton, arcs_taken, context_totals, merge, resolved, shorter, since_start, stream
 from .common import crc_rest, discard, mix64, spans, stored, utf8, word_hashes, words
 
-#: Words with an arc of their own, and states of the automaton, at most.
+#: Words that every task gets, and states of spellings that are laid out as tables, at most.
 HOT, STATES = 200_000, 100_000
 #: Words the arcs between which every task gets, at most.
 CONTEXTS = 2048
@@ -58,7 +64,7 @@ CONTEXTS = 2048
 PRIOR, SHARES = 300.0, 0.8
 #: Hash of the end of a document, a token like any other.
 END = mix64(np.array([0x656E64], np.uint64))
-WORDS, GRAMS = 0, 1
+GRAMS = 1
 #: Entries that a task gathers before it sums them.
 GATHER = 4_000_000
 #: Training tokens for a part that is asked, and parts that are made for them at most: each
@@ -81,33 +87,119 @@ def _gram_key(codes: np.ndarray) -> np.ndarray:
     return (codes >> np.uint64(8)) & np.uint64(0xFFFF)
 
 
+def _spelled_words(text: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The words of a stream, each with the space that ends it."""
+    limits = np.append(starts, len(text)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(text))])
+
+
+def _distinct(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Keys, ascending, counts and spellings of the words of these spans."""
+    keys, first, counts = np.unique(word_hashes(data, begin, end, lower=True), return_index=True, return_counts=True)
+    if not len(keys):
+        return keys, counts, pa.array([], pa.large_binary())
+    limits = np.stack([begin, end], 1).astype(np.int64).reshape(-1)  # words, and the gaps between them
+    each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(limits) - 1, [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(data))])
+    return keys, counts.astype(np.int64), _spelled_words(*stream(*utf8(each.take(pa.array(2 * first)))))
+
+
+def _merged(held: list[tuple]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Sums of counts by word, keys ascending."""
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    keys, counts, texts = zip(*held)
+    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(keys, kind="stable")
+    first = np.flatnonzero(np.diff(keys[order], prepend=keys[order][:1] + np.uint64(1)))
+    return keys[order[first]], np.add.reduceat(counts[order], first) if len(first) else counts, pa.concat_arrays(texts).take(pa.array(order[first]))
+
+
 def _counting(parts: int):
     def run(batches):
-        held = {WORDS: ([], []), GRAMS: ([], [])}
+        held = []
 
-        def settle(kind):
-            keys, counts = merge(*held[kind])
-            held[kind] = ([keys], [counts])
+        def size():
+            return sum(len(x[0]) + x[2].nbytes // 16 for x in held)
+
+        def sent():
+            keys, counts, texts = _merged(held)
+            order, limits = _deal(keys, parts)
+            for p in np.flatnonzero(np.diff(limits)).tolist():
+                of = order[limits[p] : limits[p + 1]]
+                yield _words_packed(p, keys[of], counts[of], texts.take(pa.array(of)))
 
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for a, b in spans(np.diff(offsets)):
                 piece, where = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 begin, end, _ = words(piece, where)
-                found = [np.unique(word_hashes(piece, begin, end, lower=True), return_counts=True), (END, np.array([b - a]))]
-                text, starts = stream(piece, where)
-                for kind, (keys, counts) in ((WORDS, found[0]), (WORDS, found[1]), (GRAMS, grams(text, starts))):
-                    held[kind][0].append(keys)
-                    held[kind][1].append(counts.astype(np.int64))
-                    if sum(map(len, held[kind][0])) > 2 * GATHER:
-                        settle(kind)
-        for kind in held:
-            settle(kind)
-            (keys,), (counts,) = held[kind]
-            order, limits = _deal(keys if kind == WORDS else _gram_key(keys), parts)
+                held += [_distinct(piece, begin, end), (END, np.array([b - a]), pa.array([b""], pa.large_binary()))]
+                if size() > 2 * GATHER:
+                    held = [_merged(held)]
+                    if size() > GATHER:
+                        yield from sent()
+                        held = []
+        yield from sent()
+
+    return run
+
+
+WORD_ROW = "p int, keys binary, counts binary, spelling binary"
+
+
+def _words_packed(p: int, keys: np.ndarray, counts: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+    columns = keys.astype(np.uint64), counts.astype(np.int64), utf8(texts)[0]
+    return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names=["p", "keys", "counts", "spelling"])
+
+
+def _words_of(table):
+    """Keys, counts and spellings of each row; that of the end is empty."""
+    for row in zip(*(table.column(c).to_pylist() for c in ("keys", "counts", "spelling"))):
+        keys, counts, text = (np.frombuffer(x, t) for x, t in zip(row, (np.uint64, np.int64, np.uint8)))
+        lengths = np.zeros(len(keys), np.int64)
+        lengths[keys != END] = np.diff(np.flatnonzero(text == PART), prepend=-1)
+        yield keys, counts, _spelled_words(text, np.cumsum(lengths) - lengths)
+
+
+def _sum_words(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_words_packed(table["p"][0].as_py(), *_merged(list(_words_of(table))))])
+
+
+def _spans_of(texts: pa.Array):
+    """Streams of words some at a time: the first and last of them, text and starts."""
+    data, offsets = utf8(texts)
+    for a, b in spans(np.diff(offsets)):
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a:b] - offsets[a]
+
+
+def _spelling(parts: int):
+    """Counts of the arcs that the spellings take, dealt so that all arcs of a context
+    of two bytes or more meet."""
+
+    def run(batches):
+        held = ([], [])
+
+        def sent():
+            codes, counts = merge(*held)
+            order, limits = _deal(_gram_key(codes), parts)
             for p in np.flatnonzero(np.diff(limits)).tolist():
                 of = order[limits[p] : limits[p + 1]]
-                yield _packed(kind, p, keys[of], counts[of])
+                yield _packed(GRAMS, p, codes[of], counts[of])
+
+        for batch in batches:
+            for keys, counts, texts in _words_of(batch):
+                own = np.flatnonzero(keys != END)
+                counts = counts[own]
+                for a, b, text, starts in _spans_of(texts.take(pa.array(own))):
+                    codes, times = merge([arcs_taken(text, starts)], [np.repeat(counts[a:b], np.diff(starts, append=len(text)))])
+                    held[0].append(codes)
+                    held[1].append(times)
+                    if sum(map(len, held[0])) > 2 * GATHER:
+                        held = tuple([x] for x in merge(*held))
+                        if len(held[0][0]) > GATHER:
+                            yield from sent()
+                            held = ([], [])
+        yield from sent()
 
     return run
 
@@ -137,17 +229,20 @@ def _level(counts: np.ndarray) -> np.ndarray:
 
 
 def _levels(batches):
-    """How many words, and contexts of two bytes or more, have which frequency."""
+    """How many words, or contexts of two bytes or more, have which frequency."""
     for batch in batches:
-        for kind, keys, counts in zip(batch.column("kind").to_pylist(), *_arrays(batch)):
-            if kind == WORDS:
-                found = [counts]
-            else:
-                found = [context_totals(*shorter(keys, counts, n))[1] for n in range(2, ORDER)]
+        arcs = "kind" in batch.schema.names
+        for keys, counts in zip(*_arrays(batch)):
+            found = [context_totals(*shorter(keys, counts, n))[1] for n in range(2, ORDER)] if arcs else [counts]
             for c in found:
                 level, first = np.unique(_level(c), return_inverse=True)
                 n, total = np.bincount(first), np.bincount(first, weights=c).astype(np.int64) if len(c) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(level), kind, np.int32)), pa.array(level), pa.array(n), pa.array(total)], names=["kind", "level", "n", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(n), pa.array(total)], names=["level", "n", "total"])
+
+
+def _told_levels(table: DataFrame) -> list[tuple[int, int, int]]:
+    told = table.mapInArrow(_levels, "level long, n long, total long").groupBy("level").agg(F.sum("n"), F.sum("total"))
+    return [tuple(r) for r in told.collect()]
 
 
 def _least(levels: list, most: int) -> int:
@@ -161,34 +256,137 @@ def _least(levels: list, most: int) -> int:
     return least
 
 
-def _frequent(word_level: int, gram_level: int):
-    """The frequent words, and the arcs of the contexts kept."""
+def _frequent(level: int):
+    """The arcs of the contexts kept."""
 
     def run(batches):
         for batch in batches:
-            for kind, keys, counts in zip(batch.column("kind").to_pylist(), *_arrays(batch)):
-                if kind == WORDS:
-                    ok = _level(counts) >= word_level
-                    yield _packed(-1, 0, keys[ok], counts[ok])
-                    continue
+            for keys, counts in zip(*_arrays(batch)):
                 for n in range(ORDER):
                     codes, times = shorter(keys, counts, n)
                     if n >= 2:
                         names, total = context_totals(codes, times)
-                        ok = _level(total[np.searchsorted(names, codes >> np.uint64(8))]) >= gram_level
+                        ok = _level(total[np.searchsorted(names, codes >> np.uint64(8))]) >= level
                         codes, times = codes[ok], times[ok]
                     yield _packed(n, 0, codes, times)
 
     return run
 
 
+class Spelling:
+    """The arcs of the contexts kept, by the context's length, laid out once per worker."""
+
+    def __init__(self, arcs: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.arcs = arcs
+
+    def automaton(self) -> Automaton:
+        if "built" not in self.__dict__:
+            self.built = Automaton(self.arcs)
+        return self.built
+
+    def __getstate__(self):
+        return {"arcs": self.arcs}
+
+    def read(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probabilities of a stream's bytes, the places of those whose whole
+        context has no state here, and the arcs that these take."""
+        logp, depth = self.automaton().walk(text)
+        away = np.flatnonzero(depth < np.minimum(since_start(text, starts) + 1, ORDER - 1))
+        return logp.astype(np.float64), away, arcs_taken(text, starts)[away]
+
+
+def _asking_arcs(shared, parts: int):
+    """The arcs that the words of each part ask for, by the part that has them."""
+
+    def run(batches):
+        def sent(back, held):
+            codes = np.unique(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+            order, limits = _deal(_gram_key(codes), parts)
+            for p in np.flatnonzero(np.diff(limits)).tolist():
+                own = np.sort(codes[order[limits[p] : limits[p + 1]]])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([back], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["p", "back", "codes"])
+
+        for batch in batches:
+            for back, (keys, _, texts) in zip(batch.column("p").to_pylist(), _words_of(batch)):
+                held = []
+                for _, _, text, starts in _spans_of(texts.take(pa.array(np.flatnonzero(keys != END)))):
+                    held.append(np.unique(shared.value.read(text, starts)[2]))
+                    if sum(map(len, held)) > GATHER:
+                        yield from sent(back, held)
+                        held = []
+                yield from sent(back, held)
+
+    return run
+
+
+def _resolving(shared):
+    """log10 probabilities of the arcs that are asked for, from all arcs of their part."""
+
+    def run(asked: pa.Table, arcs: pa.Table) -> pa.Table:
+        logs = []
+        if asked.num_rows:
+            codes, counts = merge(*_arrays(arcs))
+            logp = resolved(codes, counts, shared.value.arcs)
+            logs = [logp[np.searchsorted(codes, np.frombuffer(x, np.uint64))].tobytes() for x in asked["codes"].to_pylist()]
+        return pa.table([asked["back"].cast(pa.int32()), asked["codes"].cast(pa.binary()), pa.array(logs, pa.binary())], names=["p", "codes", "logs"])
+
+    return run
+
+
+SPELT = "p int, keys binary, counts binary, spelled binary"
+
+
+def _spelt(p: int, keys: np.ndarray, counts: np.ndarray, spelled: np.ndarray) -> pa.RecordBatch:
+    columns = keys.astype(np.uint64), counts.astype(np.int64), spelled.astype(np.float64)
+    return pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in columns]], names=["p", "keys", "counts", "spelled"])
+
+
+def _spelt_arrays(table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, ascending, counts and spellings of all rows; no word stands in two of them."""
+    found = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("keys", np.uint64), ("counts", np.int64), ("spelled", np.float64))]
+    keys, counts, spelled = (np.concatenate([np.zeros(0, t), *x]) for x, t in zip(found, (np.uint64, np.int64, np.float64)))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], counts[order], spelled[order]
+
+
+def _spell(shared):
+    """log10 probabilities of the spellings of a part's words; the end has none."""
+
+    def run(own: pa.Table, told: pa.Table) -> pa.Table:
+        codes = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in told["codes"].to_pylist()]])
+        logs = np.concatenate([np.zeros(0), *[np.frombuffer(x, np.float64) for x in told["logs"].to_pylist()]])
+        order = np.argsort(codes, kind="stable")
+        codes, logs, out = codes[order], logs[order], []
+        for p, (keys, counts, texts) in zip(own["p"].to_pylist(), _words_of(own)):
+            spelled = np.full(len(keys), -np.inf)
+            of = np.flatnonzero(keys != END)
+            for a, b, text, starts in _spans_of(texts.take(pa.array(of))):
+                logp, away, arcs = shared.value.read(text, starts)
+                logp[away] = logs[np.searchsorted(codes, arcs)]
+                spelled[of[a:b]] = np.add.reduceat(logp, starts)
+            out.append(_spelt(p, keys, counts, spelled))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _hot(level: int):
+    def run(batches):
+        for batch in batches:
+            keys, counts, spelled = _spelt_arrays(batch)
+            ok = _level(counts) >= level
+            yield _spelt(0, keys[ok], counts[ok], spelled[ok])
+
+    return run
+
+
 class Model:
-    """What every task gets: totals, frequent words, arcs. The tables of the
-    automata are laid out once per worker."""
+    """What every task gets: totals, frequent words with the log10 probabilities of
+    their spellings, arcs. Tables are laid out once per worker."""
 
-    def __init__(self, tokens: int, distinct: int, once: int, hot: tuple, spelling: dict):
+    def __init__(self, tokens: int, distinct: int, once: int, hot: tuple, spelled: np.ndarray, spelling: Spelling):
         self.tokens, self.distinct, self.once = tokens, distinct, once
-        self.hot, self.spelling = hot, spelling
+        self.hot, self.spelled, self.spelling = hot, spelled, spelling
         most = np.argsort(-hot[1], kind="stable")[:CONTEXTS]
         self.contexts = np.sort(most)  # places in hot
         self.pairs = (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -198,9 +396,7 @@ class Model:
         return float(np.log10(self.tokens + 0.5 * (self.distinct + 1)))
 
     def automaton(self) -> Automaton:
-        if "built" not in self.__dict__:
-            self.built = Automaton(self.spelling)
-        return self.built
+        return self.spelling.automaton()
 
     def arcs(self) -> np.ndarray:
         """Counts of the pairs of context words, flat."""
@@ -212,17 +408,18 @@ class Model:
         return self.laid
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("built", "laid")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("spelling", "laid")}
 
-    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of frequent words (0 for others) and their numbers as contexts (-1)."""
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of frequent words (0 for others), their numbers as contexts (-1) and
+        their spellings (NaN)."""
         names, counts = self.hot
         if not len(names):
-            return np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+            return np.zeros(len(keys), np.int64), np.full(len(keys), -1), np.full(len(keys), np.nan)
         at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
         same = names[at] == keys
         place = np.minimum(np.searchsorted(self.contexts, at), len(self.contexts) - 1)
-        return np.where(same, counts[at], 0), np.where(same & (self.contexts[place] == at), place, -1)
+        return np.where(same, counts[at], 0), np.where(same & (self.contexts[place] == at), place, -1), np.where(same, self.spelled[at], np.nan)
 
     def total(self) -> tuple[int, int]:
         return self.tokens, self.once
@@ -253,14 +450,13 @@ def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return mix64(before * np.uint64(0x9E3779B97F4A7C15) + keys)
 
 
-def tokens_of(piece: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, rows and numbers as words (-1: an end) of the tokens, in order."""
+def tokens_of(piece: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of the tokens, in order."""
     begin, end, row = words(piece, where)
     n = len(where) - 1
     order = np.argsort(np.concatenate([row, np.arange(n)]), kind="stable")  # a row's end is last
     keys = np.concatenate([word_hashes(piece, begin, end, lower=True), np.repeat(END, n)])[order]
-    number = np.concatenate([np.arange(len(begin)), np.full(n, -1)])[order]
-    return keys, np.concatenate([row, np.arange(n)])[order], number
+    return keys, np.concatenate([row, np.arange(n)])[order]
 
 
 def before(values: np.ndarray, row: np.ndarray, start) -> np.ndarray:
@@ -281,8 +477,8 @@ def _pairing(shared, parts: int):
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for a, b in spans(np.diff(offsets)):
-                keys, row, _ = tokens_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                _, place = model.places(keys)
+                keys, row = tokens_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                _, place, _ = model.places(keys)
                 last = before(place, row, model.places(END)[1][0])
                 ok = (last >= 0) & (place >= 0)
                 pair, times = np.unique(last[ok] * n + place[ok], return_counts=True)
@@ -300,31 +496,38 @@ def _pairing(shared, parts: int):
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """texts: one column of training texts. Returns the model and the counts of
-    all words, packed by part (a written table of rows PACKED)."""
+    """texts: one column of training texts. Returns the model and the counts and spellings
+    of all words, packed by part (a written table of rows SPELT)."""
     spark = texts.sparkSession
     parts = part_count(spark)
-    told = stored(texts.mapInArrow(_counting(parts), PACKED), "counted")
-    summed = stored(told.groupBy("kind", "p").applyInArrow(_sum, PACKED), "summed")
+    told = stored(texts.mapInArrow(_counting(parts), WORD_ROW), "counted")
+    summed = stored(told.groupBy("p").applyInArrow(_sum_words, WORD_ROW), "summed")
     discard(told)
-    levels = summed.mapInArrow(_levels, "kind int, level long, n long, total long").groupBy("kind", "level").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
-    mine = [(r.level, r.n) for r in levels if r.kind == WORDS]
-    tokens = sum(r.total for r in levels if r.kind == WORDS)
-    least = _least(mine, HOT), _least([(r.level, r.n) for r in levels if r.kind == GRAMS], STATES)
-    found = {n: ([], []) for n in range(-1, ORDER)}
-    for r in summed.mapInArrow(_frequent(*least), PACKED).toLocalIterator():
+    arcs = stored(summed.mapInArrow(_spelling(parts), PACKED).groupBy("kind", "p").applyInArrow(_sum, PACKED), "arcs")
+    mine, contexts = _told_levels(summed), _told_levels(arcs)
+    tokens = sum(total for _, _, total in mine)
+    mine = [(level, n) for level, n, _ in mine]
+    found = {n: ([], []) for n in range(ORDER)}
+    for r in arcs.mapInArrow(_frequent(_least([(level, n) for level, n, _ in contexts], STATES)), PACKED).toLocalIterator():
         found[r.kind][0].append(np.frombuffer(r.keys, np.uint64))
         found[r.kind][1].append(np.frombuffer(r.counts, np.int64))
-    merged = {n: merge(*x) for n, x in found.items()}
-    hot = merged.pop(-1)
-    model = Model(int(tokens), sum(n for _, n in mine), dict(mine).get(0, 0), hot, {})
+    spelling = Spelling({n: merge(*x) for n, x in found.items()})
+    kept = spark.sparkContext.broadcast(spelling)  # arcs of STATES states at most
+    asked = summed.mapInArrow(_asking_arcs(kept, parts), "p int, back int, codes binary")
+    told = asked.groupBy("p").cogroup(arcs.select("p", "keys", "counts").groupBy("p")).applyInArrow(_resolving(kept), "p int, codes binary, logs binary")
+    spelt = stored(summed.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(_spell(kept), SPELT), "spelt")
+    discard(summed)
+    discard(arcs)
+    hot = [(r.keys, r.counts, r.spelled) for r in spelt.mapInArrow(_hot(_least(mine, HOT)), SPELT).toLocalIterator()]
+    names, counts, spelled = _spelt_arrays(pa.table(list(map(list, zip(*hot))) or [[], [], []], names=["keys", "counts", "spelled"]))
+    model = Model(int(tokens), sum(n for _, n in mine), dict(mine).get(0, 0), (names, counts), spelled, spelling)
     shared = spark.sparkContext.broadcast(model)
     few = max(1, min(parts, 64))  # CONTEXTS ** 2 sums at most
     pairs = texts.mapInArrow(_pairing(shared, few), PACKED).groupBy("kind", "p").applyInArrow(_sum, PACKED)
     got = [(np.frombuffer(r.keys, np.uint64), np.frombuffer(r.counts, np.int64)) for r in pairs.toLocalIterator()]
     at, times = merge([x for x, _ in got], [x for _, x in got])
-    model.pairs, model.spelling = (at.astype(np.int64), times), merged
-    return model, summed.filter(F.col("kind") == WORDS)
+    model.pairs = at.astype(np.int64), times
+    return model, spelt
 
 
 def part_count(spark) -> int:
@@ -332,30 +535,30 @@ def part_count(spark) -> int:
 
 
 def _dealt(parts: int):
-    """Packed counts of words, dealt to this many parts."""
+    """Words with counts and spellings, dealt to this many parts."""
 
     def run(batches):
         for batch in batches:
-            for keys, counts in zip(*_arrays(batch)):
-                order, limits = _deal(keys, parts)
-                for p in np.flatnonzero(np.diff(limits)).tolist():
-                    of = order[limits[p] : limits[p + 1]]
-                    yield _packed(WORDS, p, keys[of], counts[of])
+            keys, counts, spelled = _spelt_arrays(batch)
+            order, limits = _deal(keys, parts)
+            for p in np.flatnonzero(np.diff(limits)).tolist():
+                of = order[limits[p] : limits[p + 1]]
+                yield _spelt(p, keys[of], counts[of], spelled[of])
 
     return run
 
 
-ROW = "kind int, p int, part int, i long, n_tokens long, n_known long, base double, score double, at binary, keys binary, times binary, spelled binary, pair_at binary, pair_keys binary, pair_times binary, pair_log binary, pair_word binary"
+ROW = "kind int, p int, part int, i long, n_tokens long, n_known long, base double, score double, at binary, keys binary, times binary, pair_at binary, pair_keys binary, pair_times binary, pair_log binary, pair_word binary"
 
 
 class Asked:
     """What a task's documents ask of the parts, gathered and sent in packed arrays.
 
-    Words: document, key, times there, spelling. Pairs: document, key, times there
+    Words: document, key, times there. Pairs: document, key, times there
     (negative outside training), log10 P0 of the second word, NaN where its count isn't
     known here, and then the number of that word among the words sent."""
 
-    WORDS, PAIRS = (np.uint32, np.uint64, np.uint32, np.float32), (np.uint32, np.uint64, np.int32, np.float32, np.uint32)
+    WORDS, PAIRS = (np.uint32, np.uint64, np.uint32), (np.uint32, np.uint64, np.int32, np.float32, np.uint32)
 
     def __init__(self, parts: int):
         self.parts, self.words, self.pairs, self.by, self.n = parts, [], [], [], 0
@@ -421,7 +624,7 @@ def _reading(keep: list[str], shared, parts: int):
         from pyspark import TaskContext
 
         model = shared.value
-        automaton, part, done = model.automaton(), TaskContext.get().partitionId(), 0
+        part, done = TaskContext.get().partitionId(), 0
         arcs, contexts = model.arcs(), len(model.contexts)
         start = int(model.places(END)[1][0])
         asked = Asked(parts)
@@ -441,13 +644,9 @@ def _reading(keep: list[str], shared, parts: int):
             for a, b in spans(np.diff(offsets)):
                 piece, where = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 n = b - a
-                keys, row, number = tokens_of(piece, where)
-                text, starts = stream(piece, where)
-                spelled = np.add.reduceat(automaton.read(text).astype(np.float64), starts) if len(starts) else np.zeros(0)
-                spelled = np.where(number >= 0, np.append(spelled, 0)[number], -np.inf)  # an end has no spelling
-                names, first, of = np.unique(keys, return_index=True, return_inverse=True)
-                hot, place = model.places(names)
-                count, place = hot[of], place[of]
+                keys, row = tokens_of(piece, where)
+                names, of = np.unique(keys, return_inverse=True)
+                count, place, spelled = (x[of] for x in model.places(names))
                 own = count > 0
                 # the arc of the empty context, and the failure arc of the state that the word leads to
                 word = np.where(own, model.log_word(np.maximum(count, 1), spelled), np.nan)
@@ -473,7 +672,7 @@ def _reading(keep: list[str], shared, parts: int):
                 ask = np.searchsorted(entries, row[at] * wide + of[at])
                 pair = pair_keys(names[previous[at]], names[of[at]])
                 asked.add(
-                    (done + entries // wide, names[name], times, spelled[first[name]]),
+                    (done + entries // wide, names[name], times),
                     (done + row[at], pair, np.where(trained[a:b][row[at]], twice, -twice), word[at], ask),
                     np.where(own[at], pair, names[of[at]]),
                 )
@@ -483,7 +682,7 @@ def _reading(keep: list[str], shared, parts: int):
                         *[c.slice(a, n) for c in batch.columns[:-2]],
                         pa.array(np.zeros(n, np.int32)), pa.array(((part + done + np.arange(n)) % parts).astype(np.int32)), pa.array(np.full(n, part, np.int32)),
                         pa.array(done + np.arange(n)), pa.array(sizes), pa.array(tell(own).astype(np.int64)),
-                        pa.array(tell(base) - sizes * model.log_total), pa.array(tell(logp)), *[empty] * 9,
+                        pa.array(tell(base) - sizes * model.log_total), pa.array(tell(logp)), *[empty] * 8,
                     ],
                     names=NAMES(keep),
                 )
@@ -504,31 +703,31 @@ ANSWERS = (np.uint32, np.uint64, np.uint32, np.float32, np.uint32, np.float32)
 
 
 def looked_up(names: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Counts of keys, 0 for those not among names."""
+    """Counts, or other values, of keys, 0 for those not among names."""
     if not len(names):
-        return np.zeros(len(keys), np.int64)
+        return np.zeros(len(keys), counts.dtype)
     i = np.minimum(np.searchsorted(names, keys), len(names) - 1)
     return np.where(names[i] == keys, counts[i], 0)
 
 
 def _answer(keep: list[str], total: tuple[int, int]):
-    """Looks up the counts of a part's words and pairs for all documents that ask;
+    """Looks up the counts and spellings of a part's words, and its pairs, for all documents that ask;
     rows of documents pass through."""
     own = [*keep, "part", "i", "n_tokens", "n_known", "base", "score"]
 
     def run(rows: pa.Table, counted: pa.Table) -> pa.Table:
         asked = rows.filter(pc.equal(rows["kind"], 1))
-        names, counts = merge(*_arrays(counted)) if counted.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        names, counts, spellings = _spelt_arrays(counted)
         columns = {c: asked.column(c).to_pylist() for c in NAMES([])[8:]}
         unpack = lambda c, t, width=8: [unplaned(x, t, width) for x in columns.pop(c)]
         pairs, twice = unpack("pair_keys", np.uint64, PAIR_BYTES), unpack("pair_times", np.int32)
         arcs = merge([k[t > 0] for k, t in zip(pairs, twice)], [t[t > 0].astype(np.int64) for t in twice])
         out = [[] for _ in ANSWERS]
-        words = zip(*(unpack(c, t) for c, t in zip(("at", "keys", "times", "spelled"), Asked.WORDS)))
+        words = zip(*(unpack(c, t) for c, t in zip(("at", "keys", "times"), Asked.WORDS)))
         more = zip(unpack("pair_at", np.uint32), pairs, twice, unpack("pair_log", np.float32), unpack("pair_word", np.uint32))
-        for (at, keys, times, spelled), (pair_at, pair, twice, log, word) in zip(words, more):
+        for (at, keys, times), (pair_at, pair, twice, log, word) in zip(words, more):
             count = looked_up(names, counts, keys)
-            logp = log_word(total, count, spelled.astype(np.float64))
+            logp = log_word(total, count, looked_up(names, spellings, keys))
             n = looked_up(*arcs, pair)
             some = np.flatnonzero(n)  # the others take the failure arc
             log, unknown = log[some].astype(np.float64), np.isnan(log[some])
@@ -582,17 +781,17 @@ def score(docs: DataFrame, is_training, keep: list[str] | None = None, text_col:
     keep = [c for c in (["doc_id"] if keep is None else keep) if c not in taken]
     spark = docs.sparkSession
     model, counts = train(docs.filter(is_training).select(F.col(f"`{text_col}`").alias("text")))
-    shared = spark.sparkContext.broadcast(model)  # HOT words and the arcs of STATES states at most
+    shared = spark.sparkContext.broadcast(model)  # HOT words and the arcs between CONTEXTS at most
     parts = part_count(spark)
     finer = min(model.tokens // ASKED, PARTS) // parts
     if finer > 1:
         parts *= finer
-        counts = counts.mapInArrow(_dealt(parts), PACKED)
+        counts = counts.mapInArrow(_dealt(parts), SPELT)
     trained = F.coalesce(is_training, F.lit(False)).alias("read_trained")
     rows = docs.select(*[f"`{c}`" for c in keep], trained, F.col(f"`{text_col}`").alias("read_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     read = rows.mapInArrow(_reading(keep, shared, parts), f"{kept}, {ROW}")
-    answered = read.groupBy("p").cogroup(counts.select("p", "keys", "counts").groupBy("p")).applyInArrow(_answer(keep, model.total()), f"{kept}, {ANSWER}")
+    answered = read.groupBy("p").cogroup(counts.groupBy("p")).applyInArrow(_answer(keep, model.total()), f"{kept}, {ANSWER}")
     out = answered.groupBy("part").applyInArrow(_finish(keep), f"{kept}, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 

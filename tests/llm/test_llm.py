@@ -604,6 +604,50 @@ def test_scoring_without_training(spark, texts):
     assert scoring.score(make(spark, texts).limit(0), F.lit(True)).count() == 0
 
 
+def test_spellings_beyond_the_tables(spark, texts):
+    """Words are spelled by all contexts, however few states are laid out as tables."""
+    rng = np.random.default_rng(12)
+    more = [*texts, *[prose(rng, 40) for _ in range(20)], "a\x00b \x00\x00 \x00b", " ".join("x" * int(n) for n in rng.integers(1, 30, 20))]
+    d = make(spark, more)
+    trained = crc_rest(F.col("doc_id"), 5) != 1
+    old = scoring.HOT, scoring.STATES, scoring.GATHER
+    try:
+        scoring.HOT, scoring.STATES, scoring.GATHER = 20, 15, 300  # both kinds of words need states beyond
+        model, table = scoring.train(d.filter(trained).select("text"))
+        got = {r.doc_id: r.score for r in scoring.score(d, trained).collect()}
+    finally:
+        scoring.HOT, scoring.STATES, scoring.GATHER = old
+    assert {r.doc_id: r.score for r in scoring.score(d, trained).collect()} == pytest.approx(got, rel=1e-6)
+    assert 0 < sum(model.automaton().depth > 1) <= 15
+
+    count = Counter()
+    for i, t in enumerate(more):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            count.update(re.sub("[A-Z]", lambda m: m[0].lower(), w).encode() for w in tokens(t))
+    arcs = defaultdict(Counter)
+    for w, times in count.items():
+        whole = b" " + w + b" "
+        for at in range(1, len(whole)):
+            for n in range(min(at, automaton.ORDER - 1) + 1):
+                arcs[whole[at - n : at]][whole[at]] += times
+
+    def byte(context, b):
+        below = byte(context[1:], b) if context else 1 / automaton.SYMBOLS
+        of = arcs[context]
+        return (of[b] + len(of) * below) / (of.total() + len(of))
+
+    def spelled(w):
+        whole = b" " + w + b" "
+        return sum(math.log10(byte(whole[max(0, at - automaton.ORDER + 1) : at], whole[at])) for at in range(1, len(whole)))
+
+    rows = table.collect()
+    told = {k: (c, s) for r in rows for k, c, s in zip(*(np.frombuffer(x, t).tolist() for x, t in ((r["keys"], np.uint64), (r.counts, np.int64), (r.spelled, np.float64))))}
+    assert len(told) == len(count) + 1 and told.pop(int(scoring.END[0]))[1] == -math.inf
+    for w, times in count.items():
+        key = scoring.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]
+        assert told[int(key)] == (times, pytest.approx(spelled(w), rel=1e-5))
+
+
 def test_automaton_is_a_distribution():
     rng = np.random.default_rng(11)
     raw = (prose(rng, 3000) + " ").encode()
